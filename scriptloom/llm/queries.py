@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptloom.llm import exact_dedup, quality_qda, sentencepiece_nbest, sharding, toxicity
+from scriptloom.llm import exact_dedup, near_dedup, quality_qda, sentencepiece_nbest, sharding, toxicity
 from scriptloom.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.plan_growth(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.later_copies(table(spark, sf_dir, "documents"))
 
@@ -29,5 +33,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_sharding, op6_exact_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_sharding, op4_near_dedup, op6_exact_dedup, op10_quality)}
 ORACLES = {"op3_sharding": sharding.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}
