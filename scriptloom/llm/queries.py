@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptloom.llm import exact_dedup, near_dedup, quality_qda, sentencepiece_nbest, sharding, toxicity
+from scriptloom.llm import decontaminate, exact_dedup, near_dedup, quality_qda, sentencepiece_nbest, sharding, toxicity
 from scriptloom.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.later_copies(table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_sharding, op4_near_dedup, op6_exact_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_sharding, op4_near_dedup, op5_decontamination, op6_exact_dedup, op10_quality)}
 ORACLES = {"op3_sharding": sharding.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}

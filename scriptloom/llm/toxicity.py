@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,10 +124,12 @@ def fit_texts(texts: list[str], toxic: np.ndarray, share: float) -> OrdinalModel
         for c in (0, 1):
             frequency[c] += np.bincount(pair[label == c] & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
     n0, n1 = int((~toxic).sum()), int(toxic.sum())
-    p0, p1 = (frequency[0] + 0.5) / (n0 + 1), (frequency[1] + 0.5) / (n1 + 1)
-    p = (frequency[0] + frequency[1] + 0.5) / (n0 + n1 + 1)
-    z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    good = np.flatnonzero((np.abs(z) >= MIN_Z) & (frequency[1] + frequency[0] >= MIN_TOXIC))
+    often = np.flatnonzero(frequency[1] + frequency[0] >= MIN_TOXIC)
+    f0, f1 = frequency[:, often]
+    p0, p1, p = (f0 + 0.5) / (n0 + 1), (f1 + 0.5) / (n1 + 1), (f0 + f1 + 0.5) / (n0 + n1 + 1)
+    z = np.zeros(1 << BITS, np.float32)
+    z[often] = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
+    good = np.flatnonzero(np.abs(z) >= MIN_Z)
     if len(good) > MAX_FEATURES:
         good = good[np.argsort(-np.abs(z[good]), kind="stable")[:MAX_FEATURES]]
     good = np.sort(good)
@@ -159,8 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     some = known.where("t").orderBy(*order).limit(max_per_class).unionByName(known.where("not t").orderBy(*order).limit(max_per_class))
     # At most 2 * max_per_class pairs of 9 bytes: small by the bound, so they can be sent to all executors.
     rows = own.join(F.broadcast(some), "doc_id").toArrow().combine_chunks()
-    order = np.lexsort((rows["text"].to_pandas().fillna("").to_numpy(str), rows["doc_id"].to_numpy())) if rows.num_rows else []
-    rows = rows.take(pa.array(order, pa.int64()))
+    rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("text", "ascending")]))
     return fit_texts(rows["text"].to_pylist(), rows["t"].to_numpy(), counts[True] / (counts[True] + counts[False]))
 
 
