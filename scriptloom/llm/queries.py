@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptloom.llm import decontaminate, exact_dedup, near_dedup, quality_qda, sentencepiece_nbest, sharding, toxicity
-from scriptloom.llm.common import table
+from scriptloom.llm import decontaminate, exact_dedup, html_wrappers, near_dedup, quality_qda, sentencepiece_nbest, sharding, suffix_dedup, toxicity, warc
+from scriptloom.llm.common import fresh_path, table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +33,21 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.later_copies(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_sharding, op4_near_dedup, op5_decontamination, op6_exact_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_sharding, op4_near_dedup, op5_decontamination, op6_exact_dedup, op7_warc, op8_html, op9_suffix_dedup, op10_quality)}
 ORACLES = {"op3_sharding": sharding.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}
