@@ -44,7 +44,8 @@ ANCHOR = 26
 BEFORE = MIN_WORDS - ANCHOR
 _WIDTH = BEFORE + MIN_WORDS
 _M = (U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
-_BATCH_ROWS = 1 << 16
+_BATCH_ROWS = 1 << 13
+_CHUNK = 1 << 19
 _CONTEXT = "anchor long, doc_id long, text_hash long, place int, low int, high int, around binary"
 _SPANS = "doc_id long, text_hash long, start int, stop int, source_id long"
 
@@ -192,6 +193,31 @@ def part_factors(bucket: np.ndarray, rank: np.ndarray, low: np.ndarray, high: np
     return left[back], right[back], np.where(found >= 0, order[found], -1)
 
 
+def _equal_rows(bucket: np.ndarray, rank: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """For each row the row of least rank with the same part and the same words."""
+    key = mix(bucket.astype(np.int64).view(np.uint64))
+    for k in range(around.shape[1]):
+        key = mix(key + around[:, k])
+    order = np.lexsort((rank, key))
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    out = np.empty(len(bucket), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return out
+
+
+def row_factors(bucket: np.ndarray, rank: np.ndarray, low: np.ndarray, high: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """part_factors() of all rows. A row whose words an earlier row has throughout is a factor as a whole; only
+    the first of such rows has to be ordered among others."""
+    first = _equal_rows(bucket, rank, around)
+    one = np.flatnonzero(first == np.arange(len(first)))
+    left, right, source = (low.astype(np.int64) * 0 - 1, high.astype(np.int64) * 0, np.full(len(first), -1, np.int64))
+    a, b, c = part_factors(bucket[one], rank[one], low[one], high[one], around[one])
+    left[one], right[one], source[one] = a, b, np.where(c >= 0, one[c], -1)
+    rest = np.flatnonzero((first != np.arange(len(first))) & (high - low >= MIN_WORDS))
+    left[rest], right[rest], source[rest] = BEFORE - low[rest], high[rest] - BEFORE, first[rest]
+    return left, right, source
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.md5(text.cast("binary")).alias("text_key"), text.alias("text"))
@@ -201,7 +227,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _anchor_hashes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, size=_CHUNK):
                 w = words(part.column("text"))
                 _, g = anchors(w.hashes(), w.first)
                 if len(g):
@@ -240,7 +266,7 @@ def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, size=_CHUNK):
                 if (out := rows(words(part.column("text")), part)) is not None:
                     yield out
 
@@ -274,8 +300,12 @@ def _factor_spans(contexts: DataFrame) -> DataFrame:
             null = t["doc_id"].is_null().to_numpy()
             rank = np.empty(len(bucket), np.int64)
             rank[np.lexsort((place, text, doc, null))] = np.arange(len(bucket))
-            around = np.frombuffer(b"".join(t["around"].to_pylist()), np.uint32).reshape(len(bucket), _WIDTH)
-            left, right, source = part_factors(bucket, rank, t["low"].to_numpy(), t["high"].to_numpy(), around)
+            around = t["around"].combine_chunks()
+            around = around.chunk(0) if isinstance(around, pa.ChunkedArray) else around
+            _, offsets, data = around.buffers()
+            begin = int(np.frombuffer(offsets, np.int32)[around.offset])
+            around = np.frombuffer(data, np.uint32, len(bucket) * _WIDTH, begin).reshape(len(bucket), _WIDTH)
+            left, right, source = row_factors(bucket, rank, t["low"].to_numpy(), t["high"].to_numpy(), around)
             hit = np.flatnonzero(source >= 0)
             if len(hit):
                 of = pa.array(hit)
