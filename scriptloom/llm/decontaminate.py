@@ -39,19 +39,23 @@ ITEM_BYTES = 32 << 20
 _SCHEMA = "doc_id long, item_id long, similarity double, place int"
 _BITS = 64
 _FLAGS = 20
+SLAB = 1 << 15
 
 
-def fingerprints(h: np.ndarray, weight: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of the windows of size words from each place in at."""
-    out = np.zeros(len(at), np.uint64)
-    end = np.minimum(at + size, len(h))
-    w = weight.astype(np.float32)
-    for b in range(_BITS):
-        vote = np.concatenate((np.zeros(1, np.float32), np.cumsum(np.where((h >> U64(b)) & U64(1), w, -w), dtype=np.float32)))
-        out |= (vote[end] - vote[at] > 0).astype(np.uint64) << U64(b)
+def votes(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each bit the running sum of the words' votes, a row for each word and one before them."""
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
+    out = np.zeros((len(h) + 1, _BITS), np.int32)
+    np.cumsum((2 * bits - 1) * weight.astype(np.int32)[:, None], axis=0, out=out[1:])
     return out
 
 
+def fingerprints(vote: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of the windows of size words from each place in at."""
+    end = np.minimum(at + size, len(vote) - 1)
+    return np.packbits(vote[end] > vote[at], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+
+
 def blocks(radius: int = RADIUS) -> list[tuple[int, int]]:
     """(first bit, number of bits) of each of radius + 1 blocks that make up a fingerprint."""
     cut = [b * _BITS // (radius + 1) for b in range(radius + 2)]
@@ -114,7 +118,7 @@ class ItemIndex:
                 keys.append(self.runs[i][0])
                 by_size.setdefault(b - a, []).append(i)
         for n, items in sorted(by_size.items()):
-            prints = [fingerprints(h[w.first[i] : w.first[i + 1]], size[w.first[i] : w.first[i + 1]], np.zeros(1, np.int64), n)[0] for i in items]
+            prints = [fingerprints(votes(h[w.first[i] : w.first[i + 1]], size[w.first[i] : w.first[i + 1]]), np.zeros(1, np.int64), n)[0] for i in items]
             least = min(self.runs[i][1].sum() for i in items)
             self.by_size[n] = (np.array(items), HammingIndex(np.array(prints, np.uint64)), THRESHOLD * least)
         self.keys = np.unique(np.concatenate(keys))
@@ -138,23 +142,26 @@ class ItemIndex:
         """
         found: dict[int, tuple[float, int]] = {}
         total = np.append(0, np.cumsum(gain))
-        n = len(h)
-        for length, (items, index, need) in self.by_size.items():
-            last = max(0, n - length)
-            ends = np.minimum(np.arange(last + 1) + max(1, length - SHINGLE + 1), n)
-            at = np.flatnonzero(total[ends] - total[: last + 1] >= need - 1e-9)
-            if not len(at):
-                continue
-            lo, hi = int(at[0]), min(n, int(at[-1]) + length)
-            prints = fingerprints(h[lo:hi], size[lo:hi], at - lo, length)
-            runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for window, j in zip(*index.within(prints)):
-                item, place = int(items[j]), int(at[window])
-                if place not in runs:
-                    runs[place] = _runs(h[place : place + length], size[place : place + length])
-                s = weighted_similarity(runs[place], self.runs[item])
-                if s >= THRESHOLD and s > found.get(item, (0.0, 0))[0]:
-                    found[item] = (s, place)
+        n, longest = len(h), max(self.by_size, default=0)
+        for lo in range(0, n, SLAB):  # votes take 256 bytes a word, so long texts go piece by piece
+            hi, vote = min(n, lo + SLAB + longest), None
+            runs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+            for length, (items, index, need) in self.by_size.items():
+                if total[hi] - total[lo] < need - 1e-9:
+                    continue
+                start = np.arange(lo, min(lo + SLAB, max(0, n - length) + 1))
+                ends = np.minimum(start + max(1, length - SHINGLE + 1), n)
+                at = start[total[ends] - total[start] >= need - 1e-9]
+                if not len(at):
+                    continue
+                vote = votes(h[lo:hi], size[lo:hi]) if vote is None else vote
+                for window, j in zip(*index.within(fingerprints(vote, at - lo, length))):
+                    item, place = int(items[j]), int(at[window])
+                    if (place, length) not in runs:
+                        runs[place, length] = _runs(h[place : place + length], size[place : place + length])
+                    s = weighted_similarity(runs[place, length], self.runs[item])
+                    if s >= THRESHOLD and s > found.get(item, (0.0, 0))[0]:
+                        found[item] = (s, place)
         return found
 
     def matches(self, texts: pa.Array) -> Iterator[tuple[int, dict[int, tuple[float, int]]]]:
