@@ -66,25 +66,32 @@ class HammingIndex:
     """Fingerprints by block: finds all within RADIUS of another one, and no more than share a block."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
-        self.prints, self.radius, self.tables = prints, radius, []
-        for first, bits in blocks(radius):
-            value = (prints >> U64(first)).astype(np.int64) & ((1 << bits) - 1)
-            order = np.argsort(value, kind="stable")
-            self.tables.append((first, bits, order, np.searchsorted(value[order], np.arange((1 << bits) + 1))))
+        cut = blocks(radius)
+        self.prints, self.radius = prints, radius
+        self.first = np.array([a for a, _ in cut], np.uint64)
+        self.mask = np.array([(1 << bits) - 1 for _, bits in cut], np.uint64)
+        self.base = np.cumsum([0, *(1 << bits for _, bits in cut)])[:-1]  # one table for all blocks, end to end
+        key = self._keys(prints)
+        self.order = np.argsort(key, kind="stable")
+        self.start = np.searchsorted(key[self.order], np.arange(sum(1 << bits for _, bits in cut) + 1))
+        self.order //= len(cut)
+
+    def _keys(self, prints: np.ndarray) -> np.ndarray:
+        """The place of each block of each fingerprint in the table."""
+        return ((prints[:, None] >> self.first & self.mask).astype(np.int64) + self.base).ravel()
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (place in prints, place in the index) at a distance of radius at most."""
-        left, right = [], []
-        for first, bits, order, start in self.tables:
-            value = (prints >> U64(first)).astype(np.int64) & ((1 << bits) - 1)
-            count = start[value + 1] - start[value]
-            who = np.repeat(np.arange(len(prints)), count)
-            item = order[np.arange(len(who)) - np.repeat(np.cumsum(count) - count - start[value], count)]
-            near = np.bitwise_count(prints[who] ^ self.prints[item]) <= self.radius
-            left.append(who[near])
-            right.append(item[near])
-        pair = np.unique(np.concatenate(left) * max(1, len(self.prints)) + np.concatenate(right))
-        return pair // max(1, len(self.prints)), pair % max(1, len(self.prints))
+        key = self._keys(prints)
+        begin = self.start[key]
+        count = self.start[key + 1] - begin
+        who = np.repeat(np.arange(len(key)), count)
+        item = self.order[np.arange(len(who)) - np.repeat(np.cumsum(count) - count - begin, count)]
+        who //= len(self.first)
+        near = np.bitwise_count(prints[who] ^ self.prints[item]) <= self.radius
+        m = max(1, len(self.prints))
+        pair = np.unique(who[near] * m + item[near])
+        return pair // m, pair % m
 
 
 def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
