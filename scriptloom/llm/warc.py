@@ -92,7 +92,7 @@ class _File:
     def __init__(self, fs: pafs.FileSystem, folder: str, name: str, date: str):
         self.fs, self.name, self.final = fs, name, f"{folder}/{name}"
         self.temporary = f"{folder}/_temporary-{uuid.uuid4().hex}-{name}"
-        self.out = fs.open_output_stream(self.temporary)
+        self.out = fs.open_output_stream(self.temporary, compression=None)
         self.size = 0
         self.add(_member(_info(name, date)))
 
@@ -216,7 +216,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name in batch.column("file").to_pylist():
                 rows = []
-                for data in members(fs.open_input_stream(f"{folder}/{name}").read()):
+                for data in members(fs.open_input_stream(f"{folder}/{name}", compression=None).read()):
                     r = parse(data)
                     if r["fields"]["WARC-Type"] == "response":
                         page, target = r["fields"]["X-Page-Id"], r["fields"]["WARC-Target-URI"]
