@@ -3,12 +3,12 @@
 P(grade >= k) = logistic(w . x - b_k) for the thresholds b_1 < b_2 < ...: all thresholds share the weights w.
 The result is the expected grade, the sum over k of P(grade >= k), and P(grade >= 1).
 
-Features are presences of words and of runs of five bytes inside a word with the space before it, hashed
+Features are presences of words and of runs of four and of five bytes inside a word with the space before it, hashed
 to 2^22 buckets; those whose document frequency differs between the classes by at least MIN_Z standard
 errors are kept, MAX_FEATURES at most. A text is read whole.
 
 The labels say only toxic or not. A toxic training document's grade is 1, 2 or 3 by the tercile of the
-share of its words that hold a feature tied to toxicity; the others have grade 0.
+number of its features that are tied to toxicity; the others have grade 0.
 
 The fit uses at most MAX_PER_CLASS labelled documents of each class (a documented bound; those of least
 hash of doc_id, so the same ones each time), weighted to the classes' shares among all labels. Scoring
@@ -34,15 +34,15 @@ from pyspark.sql import functions as F
 from scriptloom.llm.textbatch import U64, Words, chunks, mix, words
 
 BITS = 22
-GRAM = 5
+GRAMS = (4, 5)
 MAX_PER_CLASS = 3000
 MAX_FEATURES = 1024
-MIN_Z = 5.0
+MIN_Z = 4.0
 MIN_TOXIC = 4
 GRADES = 4
-L2 = 1e-3
+L2 = 1e-4
 STEPS = 400
-REJECT_AT = 0.5
+REJECT_AT = 0.4
 SCHEMA = "doc_id long, p_toxic double, expected_severity double, grade int, toxic boolean"
 
 
@@ -50,14 +50,16 @@ def _buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(word index, bucket) of every feature of a batch: each word, and each gram inside " word"."""
     size = w.end - w.start
     codes, owner = [w.hashes() | U64(1)], [np.arange(len(size))]
-    runs = np.maximum(size + 2 - GRAM, 0)  # the space counts as the first byte
-    own = np.repeat(np.arange(len(size)), runs)
-    place = np.arange(len(own)) - np.repeat(np.cumsum(runs) - runs, runs)
-    if len(own):
-        padded = np.concatenate((np.full(1, 32, np.uint8), w.data, np.zeros(GRAM, np.uint8))).astype(np.uint64)
+    padded = np.concatenate((np.full(1, 32, np.uint8), w.data, np.zeros(max(GRAMS), np.uint8))).astype(np.uint64)
+    for gram in GRAMS:
+        runs = np.maximum(size + 2 - gram, 0)  # the space counts as the first byte
+        own = np.repeat(np.arange(len(size)), runs)
+        if not len(own):
+            continue
+        place = np.arange(len(own)) - np.repeat(np.cumsum(runs) - runs, runs)
         at = w.start[own] + place  # in padded, the byte before the gram's second one
         code = np.where(place == 0, U64(32), padded[at])
-        for j in range(1, GRAM):
+        for j in range(1, gram):
             code = (code << U64(8)) | padded[at + j]
         codes.append(mix(code) & ~U64(1))
         owner.append(own)
@@ -137,17 +139,17 @@ def fit_texts(texts: list[str], toxic: np.ndarray, share: float) -> OrdinalModel
     place[good] = np.arange(len(good))
     x = np.zeros((len(toxic), len(good)))
     hits = np.zeros(len(toxic))
-    for row, doc, bucket, owner, count in _sparse(batch):
+    for row, doc, bucket, _, count in _sparse(batch):
         f = place[bucket]
         hit = f >= 0
         x[row + doc[hit], f[hit]] = 1
-        tied = hit & (z[bucket] > 2 * MIN_Z)
-        own = np.unique(owner[tied])
-        hits[row : row + len(count)] = np.bincount(np.repeat(np.arange(len(count)), count)[own], minlength=len(count)) / np.maximum(count, 1)
+        tied = np.flatnonzero(hit & (z[bucket] > 2 * MIN_Z))
+        pair = np.unique(doc[tied].astype(np.int64) * len(place) + bucket[tied])
+        hits[row : row + len(count)] = np.bincount(pair // len(place), minlength=len(count))
     cuts = np.quantile(hits[toxic], [1 / 3, 2 / 3])
     y = np.where(toxic, 1 + (hits > cuts[0]) + (hits > cuts[1]), 0).astype(np.int64)
     weight = np.where(toxic, share / n1, (1 - share) / n0)
-    w, b = fit_ordinal(x, y, weight, GRADES)
+    w, b = fit_ordinal(x, y, weight, GRADES, L2, STEPS)
     return OrdinalModel(good, w, b)
 
 
