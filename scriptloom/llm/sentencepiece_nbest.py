@@ -39,7 +39,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 SPACE = "▁"
 LONGEST_AT_ONCE = 48
-CACHED_UNITS = 400_000
+CACHED_UNITS = 150_000
 SCHEMA = "doc_id long, n_tokens int, round_trip boolean, segmentations array<struct<score:double,ids:array<int>>>"
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -448,7 +448,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, n: int = N_BEST) -> Da
             state["pieces", key] = (model, UnitCache(model))
         model, cache = state["pieces", key]
         for batch in batches:
-            for part in chunks(batch, size=4 << 20):
+            for part in chunks(batch, size=1 << 20):
                 texts = part.column("text")
                 found = encode_chunk(model, cache, texts, n)
                 null = np.asarray(texts.is_null())
