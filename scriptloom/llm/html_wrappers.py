@@ -11,8 +11,8 @@ groups (...)? and repeated groups (...)+; it has no alternatives.
    alignment has the most tokens in common; a repeated group may stand against one or more plain copies of
    its body. At a mismatch, tokens that only one side has become an optional group; texts that differ become
    a slot.
-3. Each folded stream is aligned with its host's finished wrapper, which says where its texts go: to a slot or
-   to a fixed text. Pages look their stream up and give the texts of their slots.
+3. The wrapper's texts keep through all alignments which texts of which stream they stand for, so every text of
+   a stream goes to a slot or equals a fixed text. Pages look their stream up and give the texts of their slots.
 
 Only folded streams are shuffled, never pages, as long as the table of streams is LOOKUP_BYTES at most; beyond
 that pages are joined with it by host and stream.
@@ -30,6 +30,7 @@ from __future__ import annotations
 import html as html_entities
 import re
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
@@ -125,25 +126,33 @@ def _text_hash(texts: list[str]) -> int:
 
 
 class Node:
-    """kind: tag, text or rep. A text's value is its hash, or 0 for a slot."""
+    """kind: tag, text or rep. A text's value is its hash, or 0 for a slot; seen has the numbers of the samples' texts it stands for."""
 
-    __slots__ = ("kind", "name", "value", "body", "pages", "optional", "slot")
+    __slots__ = ("kind", "name", "value", "body", "pages", "optional", "slot", "seen")
 
     def __init__(self, kind: str, name: str = "", value: int = 0, body: list[Node] | None = None, pages: int = 1):
         self.kind, self.name, self.value, self.body, self.pages = kind, name, value, body or [], pages
         self.optional, self.slot = False, -1
+        self.seen: list[int] = []
 
     def copy(self) -> Node:
         n = Node(self.kind, self.name, self.value, [x.copy() for x in self.body], self.pages)
-        n.optional = self.optional
+        n.optional, n.seen = self.optional, self.seen
         return n
 
 
-def nodes_of(stream: str, texts: list[int], pages: int = 1) -> list[Node]:
-    left = iter(texts)
+def nodes_of(stream: str, texts: list[int], pages: int = 1, start: int = 0) -> list[Node]:
+    """The nodes of a folded stream; its texts have the numbers from start on."""
+    left = enumerate(texts, start)
+
+    def text() -> Node:
+        k, value = next(left)
+        n = Node("text", value=value, pages=pages)
+        n.seen = [k]
+        return n
 
     def make(parsed: list) -> list[Node]:
-        return [Node("text", value=next(left), pages=pages) if x == "#" else Node("rep", body=make(x[1])) if isinstance(x, tuple) else Node("tag", x) for x in parsed]
+        return [text() if x == "#" else Node("rep", body=make(x[1])) if isinstance(x, tuple) else Node("tag", x) for x in parsed]
 
     return make(_parse(stream))
 
@@ -207,6 +216,10 @@ def align(a: list[Node], b: list[Node]) -> list[tuple[list[Node], list[Node], in
 def _generalised(a: Node, b: Node) -> Node:
     out = a.copy()
     out.optional, out.pages = a.optional or b.optional, a.pages + b.pages
+    # The longer list grows, so that a wrapper's isn't copied for each sample; a and b aren't used any more.
+    more, less = (a.seen, b.seen) if len(a.seen) >= len(b.seen) else (b.seen, a.seen)
+    more += less
+    out.seen = more
     if a.kind == "text" and a.value != b.value:
         out.value = _VARIES
     if a.kind == "rep":
@@ -252,33 +265,25 @@ def shown(wrapper: list[Node]) -> str:
     return "".join(out) + (")?" if inside else "")
 
 
-def places(wrapper: list[Node], sample: list[Node]) -> list[int]:
-    """For each text of the sample, in order, the slot of the wrapper it belongs to, or -1 for a fixed text."""
-
-    def leaves(x: list[Node]) -> list[Node]:
-        return [y for n in x for y in (leaves(n.body) if n.kind == "rep" else [n] if n.kind == "text" else [])]
-
-    out: list[int] = []
-    for x, y, _ in align(wrapper, sample):
-        if not y:
-            continue
-        if len(x) == len(y) == 1 and x[0].kind == y[0].kind == "rep":
-            out += places(x[0].body, y[0].body)
-        elif x and len(x) == 1 and x[0].kind == "rep":
-            out += places(x[0].body, y)
-        else:
-            own, theirs = leaves(x), leaves(y)
-            out += [n.slot for n in own] if len(own) == len(theirs) else [-1] * len(theirs)
-    return out
+def placed(wrapper: list[Node], slots: list[int]) -> None:
+    """Sets the slots of the texts that the wrapper's texts stand for."""
+    for x in wrapper:
+        for k in x.seen:
+            slots[k] = x.slot
+        placed(x.body, slots)
 
 
 def infer(samples: list[tuple[str, list[int], int]]) -> tuple[list[Node], list[list[int]]]:
-    """The wrapper of samples (folded stream, hashes of texts, pages), most frequent first, and each sample's places."""
+    """The wrapper of samples (folded stream, hashes of texts, pages), most frequent first; for each sample's texts, in
+    order, the slot they belong to, or -1 for a fixed text."""
+    starts = [0, *accumulate(len(texts) for _, texts, _ in samples)]
     wrapper: list[Node] = nodes_of(*samples[0])
-    for s in samples[1:]:
-        wrapper = merge(wrapper, nodes_of(*s))
+    for s, start in zip(samples[1:], starts[1:]):
+        wrapper = merge(wrapper, nodes_of(*s, start))
     number(wrapper)
-    return wrapper, [places(wrapper, nodes_of(*s)) for s in samples]
+    slots = [-1] * starts[-1]
+    placed(wrapper, slots)
+    return wrapper, [slots[a:b] for a, b in pairwise(starts)]
 
 
 def host_of(url: str | None) -> str:

@@ -188,6 +188,37 @@ def test_wrapper_matches_its_pages():
     assert "(" in pattern
 
 
+def test_wrapper_places_every_text():
+    def held(pages):
+        merger = html_wrappers._Merger()
+        for page in pages:
+            stream, texts = html_wrappers.fold(html_wrappers.tokens(page))
+            merger.add(("", stream), np.array([html_wrappers._text_hash(t) for t in texts], np.int64), 1)
+        every = sorted(((-n, stream, t.tolist()) for (_, stream), (t, n) in merger.of.items()), key=lambda x: x[:2])
+        wrapper, where = html_wrappers.infer([(s, t, -n) for n, s, t in every])
+
+        def leaves(nodes):
+            return [y for n in nodes for y in ([n] if n.kind == "text" else leaves(n.body))]
+
+        # Each text of each stream is in one text of the wrapper, and is that text if it is fixed.
+        flat = [(v, slot) for (_, _, t), slots in zip(every, where) for v, slot in zip(t, slots, strict=True)]
+        assert sorted(k for n in leaves(wrapper) for k in n.seen) == list(range(len(flat)))
+        for n in leaves(wrapper):
+            assert all(flat[k][1] == n.slot and (n.slot >= 0 or flat[k][0] == n.value != 0) for k in n.seen)
+
+    li = lambda *x: f"<ul>{''.join(f'<li>{t}</li>' for t in x)}</ul>"
+    held([li("a"), li("b"), li("c"), li("d", "e"), li("f", "g"), li("", "h", "i")])
+    rng = random.Random(3)
+    for _ in range(200):
+        held("".join(rng.choice(("<b>", "</b>", "<i>", "</i>", "x", "y", str(rng.random()))) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 12)))
+
+
+def test_wrappers_give_texts_beside_optional_groups(spark):
+    pages = [f"<ul><li>{x}</li></ul>" for x in "abc"] + [f"<ul><li>{x}</li><li>{y}</li></ul>" for x, y in ("de", "fg")] + ["<ul><li></li><li>h</li><li>i</li></ul>"]
+    df = spark.createDataFrame([(k, "http://a.example/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    assert sorted(r.text for r in html_wrappers.extract(df).collect()) == ["a", "b", "c", "d\ne", "f\ng", "h\ni"]
+
+
 def test_n_best_meets_enumeration():
     model = sentencepiece_nbest.PieceModel(open(sentencepiece_nbest.MODEL_PATH, "rb").read())
 
