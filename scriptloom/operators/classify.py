@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptloom.functions.scripts import BLOCKS, SCRIPT_BLOCKS
+from scriptloom.functions.scripts import BLOCKS, SCRIPT_BLOCKS, SCRIPT_NAMES
 
 IGNORED = ["general punctuation"]
 CJK = ["bopomofo", "hangul", "han", "hiragana", "katakana"]
+#: Scripts whose groups aren't reusable on their own, and names that are, without being scripts.
+NO_SCRIPTS = {"common", "inherited", "braille"}
+MORE_NAMES = {"cjk", "dingbats"}
+#: Blocks with such a word in their name may be merged to one group.
+MERGED = ["arabic", "cjk", "greek", "latin"]
 
 
 def blocks(spark: SparkSession) -> DataFrame:
@@ -22,8 +27,8 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.lower(part(3)).alias("block"), F.conv(part(1), 16, 10).cast("int").alias("lo"), F.conv(part(2), 16, 10).cast("int").alias("hi"))
 
 
-def script_blocks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s, b) for s, bs in SCRIPT_BLOCKS.items() for b in bs], "script string, block string")
+def script_blocks(spark: SparkSession, scripts: dict[str, list[str]] = SCRIPT_BLOCKS) -> DataFrame:
+    return spark.createDataFrame([(s, b) for s, bs in scripts.items() for b in bs], "script string, block string")
 
 
 def block_of_code_points(points: DataFrame, table: DataFrame) -> DataFrame:
@@ -61,12 +66,21 @@ def preserved_scripts(preserved: list[str], target: list[str]) -> list[str]:
     return every + [s for s in CJK if s not in every] if set(every) & set(CJK) else every
 
 
-def reusable(counts: DataFrame, preserved: list[str]) -> DataFrame:
-    """Groups that name a script and don't touch a preserved one: no preserved script's name or block is in the group's name."""
-    names = sorted((set(SCRIPT_BLOCKS) - {"common"}) | {"cjk", "dingbats"})
-    kept = sorted({*preserved, *(b for s in preserved for b in SCRIPT_BLOCKS.get(s, []))})
-    words = F.split(F.translate("grp", "_", " "), " ")
-    return counts.where(F.arrays_overlap(words, F.array(*map(F.lit, names))) & ~F.exists(F.array(*map(F.lit, kept)), lambda p: F.contains(F.col("grp"), p)))
+def reusable(counts: DataFrame, preserved: list[str], scripts: dict[str, list[str]] = SCRIPT_BLOCKS) -> DataFrame:
+    """Groups that name a script, but for those that both name a preserved script and have one of the preserved scripts' blocks.
+
+    With a CJK script preserved, cjk counts as the name of a preserved script. A part x_merged of a group's name
+    stands for all blocks with x in their name.
+    """
+    names = sorted(({*SCRIPT_NAMES, *scripts} - NO_SCRIPTS) | MORE_NAMES)
+    blocks = {b for s in preserved for b in scripts.get(s, [])}
+    blocks |= {f"{k}#" for k in MERGED if any(k in b for b in blocks)}
+    kept = sorted({*preserved, *(["cjk"] if set(preserved) & set(CJK) else [])})
+    strings = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    grp = F.lower("grp")
+    parts = F.split(F.replace(grp, F.lit("_merged"), F.lit("#")), "_")
+    named = F.exists(strings(kept), lambda p: F.contains(grp, p))
+    return counts.where(F.arrays_overlap(F.split(F.translate(grp, "_", " "), " "), strings(names)) & ~(named & F.arrays_overlap(parts, strings(sorted(blocks)))))
 
 
 def clean(docs: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:

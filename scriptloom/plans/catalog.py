@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scriptloom.functions import scripts as S
 from scriptloom.functions import shaping as H
 from scriptloom.operators import bpe, classify, idmap
+from scriptloom.plans import given
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,7 +134,7 @@ def clean_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 # Characters, blocks and vocabulary groups
 
-_BLOCKS = "blocks(block, lo, hi) AS (VALUES " + ", ".join(f"('{b}', {x}, {y})" for b, x, y in S.BLOCKS) + ")"
+_BLOCKS = "blocks(block, lo, hi) AS (VALUES " + ", ".join(f"('{b}', {x}, {y})" for b, x, y in given.BLOCKS) + ")"
 _CHARS = "chars AS (SELECT unicode(c) cp, count(*) n FROM (SELECT unnest(string_split(text, '')) c FROM mixed) GROUP BY 1)"
 _VOCAB = "old_vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 id FROM (SELECT token, count(*) n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) token FROM documents) GROUP BY 1)), new_vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 id FROM (SELECT token, count(*) n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) token FROM benchmark) GROUP BY 1))"
 _WORDS = "w AS (SELECT token, row_number() OVER (ORDER BY token) id FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\n]+')) token FROM mixed))"
@@ -172,27 +173,50 @@ def group_cumulative(spark: SparkSession, d: str) -> DataFrame:
     return classify.cumulative(classify.group_counts(_groups(spark, d)), 500)
 
 
-_KEPT = [*classify.preserved_scripts(["latin", "greek"], ["arabic"]), *(b for s in ("latin", "greek", "arabic") for b in S.SCRIPT_BLOCKS[s])]
+_KEPT = [*classify.preserved_scripts(["latin", "greek"], ["arabic"]), *(b for s in ("latin", "greek", "arabic") for b in given.SCRIPT_BLOCKS[s])]
 
 
 @query(
-    f"WITH {_ALL_GROUPS}, c AS (SELECT grp, count(*) n FROM grouped GROUP BY 1) SELECT * FROM c WHERE list_has_any(string_split(replace(grp, '_', ' '), ' '), ['cjk', 'dingbats', {', '.join(repr(s) for s in S.SCRIPT_BLOCKS if s != 'common')}])"
+    f"WITH {_ALL_GROUPS}, c AS (SELECT grp, count(*) n FROM grouped GROUP BY 1) SELECT * FROM c WHERE list_has_any(string_split(replace(grp, '_', ' '), ' '), ['cjk', 'dingbats', {', '.join(repr(s) for s in given.SCRIPT_BLOCKS if s != 'common')}])"
     f" AND NOT ({' OR '.join(f'contains(grp, {k!r})' for k in _KEPT)})"
 )
 def reusable_groups(spark: SparkSession, d: str) -> DataFrame:
     return classify.reusable(classify.group_counts(_groups(spark, d)), classify.preserved_scripts(["latin", "greek"], ["arabic"]))
 
 
-_BRIDGE = "bridge(script, block) AS (VALUES " + ", ".join(f"('{s}', '{b}')" for s, bs in S.SCRIPT_BLOCKS.items() for b in bs) + ")"
+def _bridge(scripts: dict[str, list[str]]) -> str:
+    return "bridge(script, block) AS (VALUES " + ", ".join(f"('{s}', '{b}')" for s, bs in scripts.items() for b in bs) + ")"
+
+
+_BRIDGE = _bridge(given.SCRIPT_BLOCKS)
+_BRIDGE_ALL = _bridge(S.SCRIPT_BLOCKS)
+_BLOCKS_ALL = "blocks(block, lo, hi) AS (VALUES " + ", ".join(f"('{b}', {x}, {y})" for b, x, y in S.BLOCKS) + ")"
+
+
+def _block_scripts(bridge: DataFrame) -> DataFrame:
+    return bridge.groupBy("block").agg(F.array_join(F.sort_array(F.collect_set("script")), ",").alias("scripts"))
+
+
+# block_scripts and script_ranges are over the part that their SQL spells out; all_ has the whole tables.
 
 
 @query(f"WITH {_BRIDGE} SELECT block, string_agg(script, ',' ORDER BY script) scripts FROM bridge GROUP BY 1")
 def block_scripts(spark: SparkSession, d: str) -> DataFrame:
-    return classify.script_blocks(spark).groupBy("block").agg(F.array_join(F.sort_array(F.collect_set("script")), ",").alias("scripts"))
+    return _block_scripts(classify.script_blocks(spark, given.SCRIPT_BLOCKS))
 
 
 @query(f"WITH {_BRIDGE}, {_BLOCKS} SELECT script, lo, hi FROM bridge JOIN blocks USING (block)")
 def script_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return classify.script_blocks(spark, given.SCRIPT_BLOCKS).join(classify.blocks(spark), "block").select("script", "lo", "hi")
+
+
+@query(f"WITH {_BRIDGE_ALL} SELECT block, string_agg(script, ',' ORDER BY script) scripts FROM bridge GROUP BY 1")
+def all_block_scripts(spark: SparkSession, d: str) -> DataFrame:
+    return _block_scripts(classify.script_blocks(spark))
+
+
+@query(f"WITH {_BRIDGE_ALL}, {_BLOCKS_ALL} SELECT script, lo, hi FROM bridge JOIN blocks USING (block)")
+def all_script_ranges(spark: SparkSession, d: str) -> DataFrame:
     return classify.script_blocks(spark).join(classify.blocks(spark), "block").select("script", "lo", "hi")
 
 

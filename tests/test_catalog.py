@@ -2,6 +2,7 @@
 
 import glob
 import os
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions import scripts as S
 from scriptloom.functions import shaping as H
-from scriptloom.operators import bpe, idmap
+from scriptloom.operators import bpe, classify, idmap
 from scriptloom.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -101,3 +102,20 @@ def test_repair_joins_split_characters():
     pieces = {1: b"a", 2: b[:1], 3: b[1:], 4: b"z"}
     assert idmap.repaired([1, 2, 3, 4], pieces, {}, {2, 3}) == "aéz"
     assert idmap.repaired([2, 1], pieces, {}, {2, 3}).startswith("�")
+
+
+def test_tables_of_unicode_are_whole(spark):
+    assert len(S.BLOCKS) == 346 and len(S.SCRIPT_NAMES) == 176 and len(S.SCRIPT_BLOCKS) == 174
+    assert not {b for bs in S.SCRIPT_BLOCKS.values() for b in bs} - {b for b, *_ in S.BLOCKS}
+    vocab = spark.createDataFrame([("\u1200", 0), ("\u0e01", 1), ("\U0001f600", 2)], "token string, id int")
+    assert [r.grp for r in classify.token_groups(vocab, classify.blocks(spark)).orderBy("id").collect()] == ["ethiopic", "thai", "emoticons"]
+
+
+def test_reusable_groups_of_a_shipped_vocabulary(spark):
+    lines = [x.split("\t") for x in (Path(__file__).parent / "vocabulary_languages.txt").read_text().splitlines()]
+    counts = spark.createDataFrame([(g, int(n)) for g, n in lines], "grp string, n long")
+    got = {r.grp: r.n for r in classify.reusable(counts, classify.preserved_scripts(["latin", "greek"], ["arabic"])).collect()}
+    assert len(got) == 35 and sum(got.values()) == 16_632
+    assert {"hangul syllables", "thai", "devanagari", "hebrew", "armenian", "halfwidth and fullwidth forms_katakana"} <= set(got)
+    kept = {r.grp for r in classify.reusable(counts, classify.preserved_scripts(["latin"], ["katakana"])).collect()}
+    assert not kept & {"cjk_merged", "hangul syllables", "hiragana", "latin_merged"} and "cyrillic" in kept
