@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 RANGES = {
-    "arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF), (0x1EE00, 0x1EEFF)],
+    "arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x870, 0x89F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF), (0x1EE00, 0x1EEFF)],
     "cyrillic": [(0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)],
     "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
     "hiragana": [(0x3040, 0x309F)],
@@ -27,8 +28,15 @@ BLOCKS = [(m[3].lower(), int(m[1], 16), int(m[2], 16)) for m in re.finditer(r"^(
 #: The blocks that have characters of a script; and the names of all scripts, two of which have no block.
 SCRIPT_BLOCKS: dict[str, list[str]] = json.loads((_DATA / "script_to_blocks.json").read_text())
 SCRIPT_NAMES = list(json.loads((_DATA / "script_name_to_alias.json").read_text()))
-#: A presentation form or variant letter, and the letters that stand for it.
-ARABIC_RULES = {0x6A9: [0x643], 0x6CC: [0x64A], 0x6C1: [0x647], 0x649: [0x64A], 0x671: [0x627], 0x677: [0x624, 0x64F], 0xFEFB: [0x644, 0x627], 0xFDFA: [0x635, 0x644, 0x649]}
+
+
+def read_rules(path: str | Path) -> dict[int, list[int]]:
+    """Rules of normalized() in a JSON file: code points as keys, lists of code points as values."""
+    return {int(k): v for k, v in json.loads(Path(path).read_text()).items()}
+
+
+#: A presentation form or variant letter, and the letters that stand for it: 296 rules.
+ARABIC_RULES = read_rules(_DATA / "arabic_normalization_map.json")
 
 
 def char_class(ranges: list[tuple[int, int]]) -> str:
@@ -36,9 +44,16 @@ def char_class(ranges: list[tuple[int, int]]) -> str:
     return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
 
 
-def segment_pattern(script: str) -> str:
+def ranges_of(points: Iterable[int]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for p in sorted(points):
+        out.append((out.pop()[0] if out and out[-1][1] == p - 1 else p, p))
+    return out
+
+
+def segment_pattern(script: str, ranges: dict[str, list[tuple[int, int]]] = RANGES) -> str:
     """Runs of a script and runs without it; blanks join the run they follow, leading blanks the first run."""
-    t = char_class(RANGES[script])
+    t = char_class(ranges[script])
     return rf"(?:\A[{WHITE}]*)?[{t}][{t}{WHITE}]*|(?:\A[{WHITE}]*)?[^{t}{WHITE}][^{t}]*|\A[{WHITE}]+\z"
 
 
@@ -61,11 +76,19 @@ def normalized(text: Column, rules: dict[int, list[int]]) -> Column:
     """Replaces characters by rules, all at once, inside runs of two or more characters without blanks."""
     if not rules:
         return text
-    table = F.create_map(*[F.lit(x) for k, v in rules.items() for x in (chr(k), "".join(map(chr, v)))])
+    text_of = lambda points: "".join(map(chr, points))
+    class_of = lambda points: f"[{char_class(ranges_of(points))}]"
+    one, more = ({k: v for k, v in rules.items() if (len(v) == 1) == single} for single in (True, False))
     runs = F.regexp_extract_all(text, F.lit(rf"[{WHITE}]+|[^{WHITE}]+"), F.lit(0))
-    changed = lambda r: F.array_join(F.transform(F.split(r, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    keys = "[" + "".join(rf"\x{{{k:X}}}" for k in rules) + "]"
-    return F.when(~text.rlike(keys), text).otherwise(F.array_join(F.transform(runs, lambda r: F.when(F.length(r) <= 1, r).otherwise(changed(r))), ""))
+    # A map is searched entry by entry, so only the characters that become none or several look theirs up.
+    letters = lambda x: F.translate(x, text_of(one), text_of(v[0] for v in one.values())) if one else x
+    if more:
+        table = F.create_map(*[F.lit(x) for k, v in more.items() for x in (chr(k), text_of(v))])
+        letter = lambda c: F.when(c.isin([chr(k) for k in more]), F.element_at(table, c)).otherwise(letters(c))
+        changed = lambda r: F.when(r.rlike(class_of(more)), F.array_join(F.transform(F.split(r, ""), letter), "")).otherwise(letters(r))
+    else:
+        changed = letters
+    return F.when(~text.rlike(class_of(rules)), text).otherwise(F.array_join(F.transform(runs, lambda r: F.when(F.length(r) <= 1, r).otherwise(changed(r))), ""))
 
 
 def special_split(text: Column, specials: list[str]) -> Column:

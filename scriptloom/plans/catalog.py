@@ -22,7 +22,7 @@ ALPHABETS = {
     2: "αβγδεζηθικλμνξοπρστυφχψωάέ",
     3: "あいうえおかきくけこさしすせそたちつてとなにぬねのは",
 }
-TARGET = f"[{S.char_class(S.RANGES['arabic'])}]"
+TARGET = f"[{S.char_class(given.RANGES['arabic'])}]"
 UNWANTED = f"[{S.char_class(S.RANGES['cyrillic'] + S.RANGES['hiragana'])}]"
 SPECIALS = ["the", "of", "<|sep|>"]
 MERGES = [("t", "h"), ("e", "r"), ("o", "n"), ("e", "n"), ("th", "e"), ("i", "n"), ("a", "n"), ("r", "e")]
@@ -53,7 +53,7 @@ def query(oracle: str | None = None):
 
 # Scripts and segments
 
-_SEG = S.segment_pattern("arabic")
+_SEG = S.segment_pattern("arabic", given.RANGES)
 
 
 @query(f"WITH {MIXED}, g AS (SELECT doc_id, regexp_extract_all(text, '{_SEG}') g FROM mixed), n AS (SELECT doc_id, g, unnest(range(1, len(g) + 1)) k FROM g) SELECT doc_id, k::INT seg_no, g[k] segment, regexp_matches(g[k], '{TARGET}') is_target FROM n")
@@ -73,7 +73,7 @@ def contains_target(spark: SparkSession, d: str) -> DataFrame:
     return mixed(spark, d).select("doc_id", S.contains_script(F.col("text"), "arabic").alias("has_target"))
 
 
-@query(f"WITH {MIXED} SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '[{S.char_class(r)}]') THEN '{n}' END" for n, r in S.RANGES.items()) + ") scripts FROM mixed")
+@query(f"WITH {MIXED} SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '[{S.char_class(r)}]') THEN '{n}' END" for n, r in given.RANGES.items()) + ") scripts FROM mixed")
 def detect_scripts(spark: SparkSession, d: str) -> DataFrame:
     return mixed(spark, d).select("doc_id", F.array_join(S.detected_scripts(F.col("text"), list(S.RANGES)), ",").alias("scripts"))
 
@@ -92,7 +92,7 @@ def pretokenize(spark: SparkSession, d: str) -> DataFrame:
     return mixed(spark, d).select("doc_id", F.array_join(F.transform(S.pretokenized(F.col("text"), SPECIALS, "arabic"), lambda s: F.concat(kind(s), s["text"])), "¦").alias("pieces"))
 
 
-_RULES = "MAP {" + ", ".join(f"'{chr(k)}': '{''.join(map(chr, v))}'" for k, v in S.ARABIC_RULES.items()) + "}"
+_RULES = "MAP {" + ", ".join(f"'{chr(k)}': '{''.join(map(chr, v))}'" for k, v in given.ARABIC_RULES.items()) + "}"
 
 
 @query(

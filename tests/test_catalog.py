@@ -119,3 +119,17 @@ def test_reusable_groups_of_a_shipped_vocabulary(spark):
     assert {"hangul syllables", "thai", "devanagari", "hebrew", "armenian", "halfwidth and fullwidth forms_katakana"} <= set(got)
     kept = {r.grp for r in classify.reusable(counts, classify.preserved_scripts(["latin"], ["katakana"])).collect()}
     assert not kept & {"cjk_merged", "hangul syllables", "hiragana", "latin_merged"} and "cyrillic" in kept
+
+
+def test_arabic_rules_and_ranges_are_whole(spark):
+    rules = S.ARABIC_RULES
+    assert len(rules) == 296 and sum(0xFB50 <= k <= 0xFDFF or 0xFE70 <= k <= 0xFEFF for k in rules) == 260
+    assert not {0x649, 0x671, 0xFDFA} & set(rules)
+    got = spark.createDataFrame([(k, "x" + chr(k) + "y " + chr(k)) for k in rules], "k int, text string").select("k", S.normalized(F.col("text"), rules).alias("x")).collect()
+    assert {r.k: r.x for r in got} == {k: "x" + "".join(map(chr, v)) + "y " + chr(k) for k, v in rules.items()}
+    whole = "".join(map(chr, rules))
+    assert _one(spark, S.normalized(F.col("text"), rules), whole) == "".join(chr(x) for v in rules.values() for x in v)
+    # All at once: what a rule gives isn't changed by another.
+    assert _one(spark, S.normalized(F.col("text"), {97: [98], 98: [99], 99: [97, 98], 100: []}), "abcd b") == "bcab b"
+    assert _one(spark, S.normalized(F.col("text"), {97: [98], 98: [99]}), "ab") == "bc"
+    assert [tuple(x) for x in _one(spark, S.segments(F.col("text"), "arabic"), "a" + chr(0x870) + chr(0x89F))] == [("a", False), (chr(0x870) + chr(0x89F), True)]
