@@ -21,11 +21,16 @@ def common_tokens(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def token_map(new: DataFrame, old: DataFrame, reusable: DataFrame) -> DataFrame:
-    """(new_id, old_id): common tokens by name, the others in order with the reusable ids (old_id) that no common token has."""
+    """(new_id, old_id): common tokens by name, the others in order with the reusable ids (old_id) that no common token has.
+
+    Fails when it is run if there are fewer such ids than new tokens, rather than leave any without an id.
+    """
     common = common_tokens(new, old).select("new_id", "old_id")
     free = reusable.join(common.select("old_id"), "old_id", "left_anti").select("old_id", F.row_number().over(Window.orderBy("old_id")).alias("k"))
     fresh = new_tokens(new, old).select(F.col("id").alias("new_id"), F.row_number().over(Window.orderBy("id")).alias("k"))
-    return fresh.join(free, "k").select("new_id", "old_id").unionByName(common)
+    # A left join keeps the tokens without an id, and each of them raises the error, whatever columns are read.
+    paired = fresh.join(free, "k", "left").where("old_id is not null or raise_error(concat('no reusable id is left for new id ', new_id)) is not null")
+    return paired.select("new_id", "old_id").unionByName(common)
 
 
 def inverse(mapping: DataFrame) -> DataFrame:

@@ -133,3 +133,15 @@ def test_arabic_rules_and_ranges_are_whole(spark):
     assert _one(spark, S.normalized(F.col("text"), {97: [98], 98: [99], 99: [97, 98], 100: []}), "abcd b") == "bcab b"
     assert _one(spark, S.normalized(F.col("text"), {97: [98], 98: [99]}), "ab") == "bc"
     assert [tuple(x) for x in _one(spark, S.segments(F.col("text"), "arabic"), "a" + chr(0x870) + chr(0x89F))] == [("a", False), (chr(0x870) + chr(0x89F), True)]
+
+
+def test_too_few_reusable_ids_raise(spark):
+    old = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "token string, id int")
+    new = spark.createDataFrame([("a", 0), ("x", 1), ("y", 2)], "token string, id int")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "old_id int")
+    assert sorted(map(tuple, idmap.token_map(new, old, ids(0, 1, 2)).collect())) == [(0, 0), (1, 1), (2, 2)]
+    for few in (ids(0, 2), ids(0), ids(0).where("false")):
+        m = idmap.token_map(new, old, few)
+        for run in (m.collect, m.count, idmap.inverse(m).collect, idmap.stats(m, idmap.common_tokens(new, old)).collect):
+            with pytest.raises(Exception, match="no reusable id is left"):
+                run()
