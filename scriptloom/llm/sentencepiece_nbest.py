@@ -5,12 +5,11 @@ path's score is the sum of its pieces' scores in the model file. Forward Viterbi
 the start to each node; that is the exact remaining cost of a search that runs backward from the end, so
 A* pops complete segmentations in order of score.
 
-A space is the mark U+2581 in pieces, which only starts a piece (checked when the model is loaded; runs of
-marks count as a start). So the node before each run of marks is a cut of the lattice: forward scores are
-computed once for each distinct unit between cuts, by one array program for many units at once, together
-with the gap to the unit's second best path. The N best paths of the whole text change only the N - 1 units
-of least gap, so A* runs on those alone and a heap joins them. This is the search over the whole text's
-lattice without its repeated parts.
+A node is a cut of the lattice where no piece holds the two bytes around it next to each other, such as before
+a space (the mark U+2581 in pieces). No edge crosses a cut, so forward scores are computed once for each distinct
+unit between cuts, by one array program for many units at once, together with the gap to the unit's second best
+path. The N best paths of the whole text change only the N - 1 units of least gap, so A* runs on those alone and
+a heap joins them. This is the search over the whole text's lattice without its repeated parts.
 
 A character in no piece is an edge of the score (least piece score - 10) and is written as the byte pieces
 of its UTF-8 form.
@@ -38,8 +37,10 @@ from scriptloom.llm.textbatch import U64, byte_buffer, chunks, span_hashes
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 SPACE = "▁"
-LONGEST_AT_ONCE = 48
-CACHED_UNITS = 150_000
+#: Units of more bytes go one by one: a level of the array program would hold too few. The result is the same.
+LONGEST_AT_ONCE = 64
+BLOCK_BYTES = 1 << 18
+CACHED_UNITS = 1_000_000
 SCHEMA = "doc_id long, n_tokens int, round_trip boolean, segmentations array<struct<score:double,ids:array<int>>>"
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -100,55 +101,56 @@ class PieceModel:
         if rule != "identity":
             raise ValueError(f"the model normalizes texts by {rule}; only identity is known here")
         self.usable = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (_NORMAL, _USER)}
-        if any(SPACE in p.lstrip(SPACE) for p in self.usable):
-            raise ValueError("a piece holds a space after another character, so units can't be cut before spaces")
         self.byte_ids = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == _BYTE}
         self.unknown_id = self.kinds.index(_UNKNOWN)
         self.unknown_score = min(s for s, k in zip(self.scores, self.kinds) if k == _NORMAL) - 10
         self.longest = max(map(len, self.usable))
-        self._table()
+        self._trie()
         blobs = [bytes([int(p[1:-1], 16)]) if k == _BYTE else b"" if k == _CONTROL else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds)]
         self.blob_size = np.array([len(b) for b in blobs], np.int64)
         self.blob_at = np.cumsum(self.blob_size) - self.blob_size
         self.blob = np.frombuffer(b"".join(blobs), np.uint8)
 
-    # Piece lookup by hash: three tables, a piece goes to the first where its slot is free.
-    _BASE = U64(0x9E3779B97F4A7C15 | 1)
-
-    def _hash(self, piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = (h * int(self._BASE) + ord(c) + 1) & (2**64 - 1)
-        return h
-
-    def _table(self) -> None:
-        ids = np.fromiter(self.usable.values(), np.int32)
-        self.piece_hash = np.zeros(len(self.pieces) + 1, np.uint64)
-        self.piece_hash[ids] = [self._hash(p) for p in self.usable]
-        if len(np.unique(self.piece_hash[ids])) < len(ids):
-            raise ValueError("two pieces have the same hash")
-        self.slots = np.full((3, 1 << 18), len(self.pieces), np.int32)
-        for k in range(3):
-            at = self._slot(self.piece_hash[ids], k)
-            _, taken = np.unique(at, return_index=True)
-            self.slots[k][at[taken]] = ids[taken]
-            ids = np.delete(ids, taken)
-        if len(ids):
-            raise ValueError("the piece tables are too small")
-        self.score = np.array([*self.scores, -np.inf])
-
-    @staticmethod
-    def _slot(h: np.ndarray, k: int) -> np.ndarray:
-        return ((h * U64((0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)[k])) >> U64(46)).astype(np.int64)
-
-    def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Piece ids of hashes; the number of pieces where there is none."""
-        out = np.full(h.shape, len(self.pieces), np.int32)
-        for k in range(3):
-            found = self.slots[k][self._slot(h, k)]
-            hit = self.piece_hash[found] == h
-            out = np.where(hit & (found < len(self.pieces)), found, out)
-        return out
+    def _trie(self) -> None:
+        """A double array of the pieces' bytes, a space for the mark: the child of a state by a byte is child[base[state] + byte], if check has the state there."""
+        children: dict[int, int] = {}
+        piece = [-1]
+        self.beside = np.zeros((256, 256), bool)  # pairs of bytes that some piece has side by side
+        for p, i in self.usable.items():
+            state, data = 0, p.replace(SPACE, " ").encode()
+            for b in data:
+                key = state << 8 | b
+                state = children.get(key, 0)
+                if not state:
+                    state = children[key] = len(piece)
+                    piece.append(-1)
+            piece[state] = i
+            for x, y in zip(data, data[1:]):
+                self.beside[x, y] = True
+        self.piece = np.array(piece, np.int32)
+        key = np.sort(np.fromiter(children, np.int64))
+        parent, byte, to = key >> 8, key & 255, np.array([children[k] for k in key.tolist()], np.int32)
+        size = 1 << (3 * len(key) + 512).bit_length()
+        self.base = np.zeros(len(piece), np.int32)
+        self.check, self.child = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        nodes, first, count = np.unique(parent, return_index=True, return_counts=True)
+        rng = np.random.default_rng(1)
+        for n in np.unique(count)[::-1].tolist():  # states of most children first, at places drawn until they are free
+            left = np.flatnonzero(count == n)
+            while len(left):
+                base = rng.integers(0, size - 256, len(left))
+                edge = first[left][:, None] + np.arange(n)
+                slot = base[:, None] + byte[edge]
+                _, one = np.unique(slot, return_index=True)
+                free = np.zeros(slot.size, bool)
+                free[one] = True
+                good = (free.reshape(slot.shape) & (self.check[slot] < 0)).all(axis=1)
+                self.base[nodes[left[good]]] = base[good]
+                self.check[slot[good]] = nodes[left[good]][:, None]
+                self.child[slot[good]] = to[edge[good]]
+                left = left[~good]
+        self.score = np.array([*self.scores, self.unknown_score])  # at -1 that of an unknown character
+        self.byte_id = np.array([self.byte_ids.get(b, self.unknown_id) for b in range(256)], np.int32)
 
     def escape(self, text: str) -> str:
         return ((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)) if text else ""
@@ -197,63 +199,69 @@ class PieceModel:
         found = self.n_best(unit, 2)
         return found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf, found[0][1]
 
-    def many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of units of one length: best score, gap to the second best score, and the best paths' ids, with their sizes."""
-        w, n, m = len(units), len(units[0]), min(len(units[0]), self.longest)
-        cps = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(w, n).astype(np.uint64)
-        prefix = np.zeros((n + 1, w), np.uint64)
-        for j in range(n):
-            prefix[j + 1] = prefix[j] * self._BASE + cps[:, j] + U64(1)
-        power = np.ones(m + 1, np.uint64)
-        for j in range(m):
-            power[j + 1] = int(power[j]) * int(self._BASE) & (2**64 - 1)
-        ids, score = {}, {}
-        for e in range(1, n + 1):
-            for k in range(1, min(e, m) + 1):
-                i = self.lookup(prefix[e] - prefix[e - k] * power[k])
-                if k > 1 and (i == len(self.pieces)).all():
-                    continue
-                x = self.score[i]
-                if k == 1:
-                    unknown = i == len(self.pieces)
-                    i, x = np.where(unknown, -1, i), np.where(unknown, self.unknown_score, x)
-                ids[e, k], score[e, k] = i, x
-        ahead, back = np.full((n + 1, w), -np.inf), np.zeros((n + 1, w), np.int64)
-        ahead[0] = 0
-        for e in range(1, n + 1):
-            for k in range(min(e, m), 0, -1):
-                if (e, k) in ids:
-                    x = ahead[e - k] + score[e, k]
-                    better = x > ahead[e]
-                    ahead[e] = np.where(better, x, ahead[e])
-                    back[e] = np.where(better, k, back[e])
-        behind = np.full((n + 1, w), -np.inf)
-        behind[n] = 0
-        for e in range(n, 0, -1):
-            for k in range(1, min(e, m) + 1):
-                if (e, k) in ids:
-                    behind[e - k] = np.maximum(behind[e - k], behind[e] + score[e, k])
-        on = np.zeros((n + 1, w), bool)
-        on[n] = True
-        for e in range(n, 0, -1):
-            hit = np.flatnonzero(on[e])
-            on[e - back[e, hit], hit] = True
+    def _edges_of(self, data: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, bytes, piece id or -1) of all edges of units that lie end to end, shorter ones first; to: each byte's end of unit."""
+        begins = np.flatnonzero((data & 0xC0) != 0x80)
+        live, state, k = begins, np.zeros(len(begins), np.int32), 0
+        width = _WIDTHS[data[begins]]
+        known = np.zeros(len(data), bool)
+        found = []
+        while len(live):
+            slot = self.base[state] + data[live + k]
+            ok = self.check[slot] == state
+            live, state, k = live[ok], self.child[slot[ok]], k + 1
+            i = self.piece[state]
+            hit = i >= 0
+            found.append((live[hit], np.full(int(hit.sum()), k), i[hit]))
+            if k <= 4:
+                known[found[-1][0][_WIDTHS[data[found[-1][0]]] == k]] = True
+            inside = live + k < to[live]
+            live, state = live[inside], state[inside]
+        lone = ~known[begins]
+        found.insert(0, (begins[lone], width[lone], np.full(int(lone.sum()), -1, np.int32)))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def many(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of units of so many bytes end to end: best score, gap to the second best score, and the best paths' ids, with their sizes."""
+        w = len(size)
+        stop = np.cumsum(size)
+        first = stop - size
+        who = np.repeat(np.arange(w), size)
+        start, width, piece = self._edges_of(data, stop[who])
+        owner, score = who[start], self.score[piece]
+        a = start + owner  # a unit of n bytes has n + 1 nodes
+        b = a + width
+        inside = start - first[owner]
+        begin, end = first + np.arange(w), stop + np.arange(w)
+        ahead, back = np.full(len(data) + w, -np.inf), np.zeros(len(data) + w, np.int64)
+        ahead[begin] = 0
+        for edges in _levels(inside + width):
+            x, at = ahead[a[edges]] + score[edges], b[edges]
+            np.maximum.at(ahead, at, x)
+            best = x >= ahead[at]
+            back[at[best]] = edges[best]  # of equal ones the last, which is the longest
+        behind = np.full(len(ahead), -np.inf)
+        behind[end] = 0
+        for edges in reversed(_levels(inside)):
+            np.maximum.at(behind, a[edges], behind[b[edges]] + score[edges])
+        on, at, path = np.zeros(len(a), bool), end, []
+        while len(at):
+            path.append(back[at])
+            at = a[path[-1]]
+            at = at[at != begin[owner[path[-1]]]]
+        path = np.concatenate(path)
+        path = path[np.argsort(a[path])]
+        on[path] = True
         second = np.full(w, -np.inf)
-        steps = np.full((n, w), -2, np.int32)  # the piece that starts here on the best path
-        for (e, k), i in ids.items():
-            path = on[e] & (back[e] == k)
-            steps[e - k] = np.where(path, i, steps[e - k])
-            second = np.maximum(second, np.where(path, -np.inf, ahead[e - k] + score[e, k] + behind[e]))
-        steps, gap = steps.T, ahead[n] - second
-        used = steps != -2
-        sizes = used.sum(axis=1)
-        flat = steps[used]
-        if (flat < 0).any():
-            owner, place = np.nonzero(used)
-            lists = [[int(i)] if i >= 0 else self.unknown(units[j][p]) for i, j, p in zip(flat.tolist(), owner.tolist(), place.tolist())]
-            sizes = np.bincount(owner, [len(x) for x in lists], minlength=w).astype(np.int64)
-            flat = np.array([i for x in lists for i in x], np.int32)
-        return ahead[n], gap, flat, sizes
+        np.maximum.at(second, owner, np.where(on, -np.inf, ahead[a] + score + behind[b]))
+        ids, times = piece[path], np.ones(len(path), np.int64)
+        if (ids < 0).any():
+            if self.byte_ids:
+                times = np.where(ids < 0, width[path], 1)
+            place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            ids = np.repeat(ids, times)
+            ids = np.where(ids < 0, self.byte_id[data[np.repeat(start[path], times) + place]] if self.byte_ids else self.unknown_id, ids).astype(np.int32)
+        return ahead[end], np.maximum(ahead[end] - second, 0), ids, np.bincount(owner[path], times, w).astype(np.int64)
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
         """The N best segmentations of one whole text, by A* over its whole lattice; for tests and small use."""
@@ -270,6 +278,30 @@ class PieceModel:
         return self.blob[np.arange(total) - np.repeat(np.cumsum(size) - size - self.blob_at[ids], size)]
 
 
+#: Bytes of a character by its first byte.
+_WIDTHS = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16, np.int64)
+
+
+def _levels(x: np.ndarray) -> list[np.ndarray]:
+    """The places of each value of x, by rising value."""
+    order = np.argsort(x.astype(np.uint16), kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(x[order])) + 1)
+
+
+class _Grown:
+    """An array that is appended to, with room to spare."""
+
+    def __init__(self, kind: type):
+        self.data, self.size = np.zeros(1 << 12, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        need = self.size + len(x)
+        if need > len(self.data):
+            self.data = np.concatenate((self.data[: self.size], np.zeros(max(need, len(self.data)), self.data.dtype)))
+        self.data[self.size : need] = x
+        self.size = need
+
+
 class UnitCache:
     """Best paths of the units met so far, by hash: flat arrays, emptied when they hold too many."""
 
@@ -278,45 +310,51 @@ class UnitCache:
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[int, int] = {}
-        self.score, self.gap = np.zeros(0), np.zeros(0)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes and their rows
+        self._score, self._gap, self._at, self._size, self._ids = (_Grown(k) for k in (np.float64, np.float64, np.int64, np.int32, np.int32))
         self.alternatives: dict[tuple[int, int], list] = {}
 
-    def rows(self, h: np.ndarray, unit) -> np.ndarray:
-        """Rows of distinct hashes; unit(j) gives the string of the j-th."""
-        if len(self.row) > self.most:
+    score = property(lambda self: self._score.data)
+    gap = property(lambda self: self._gap.data)
+    at = property(lambda self: self._at.data)
+    size = property(lambda self: self._size.data)
+    ids = property(lambda self: self._ids.data)
+
+    def _add(self, score, gap, ids, size) -> None:
+        self._at.add(self._ids.size + np.cumsum(size) - size)
+        for to, x in ((self._score, score), (self._gap, gap), (self._ids, ids), (self._size, size)):
+            to.add(x)
+
+    def rows(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Rows of distinct units, given by rising hashes and their bytes."""
+        if len(self.known) > self.most:
             self.clear()
-        get = self.row.get
-        out = np.array([get(x, -1) for x in h.tolist()], np.int64)
-        new = np.flatnonzero(out < 0)
+        place = np.searchsorted(self.known, h)
+        hit = place < len(self.known)
+        hit[hit] = self.known[place[hit]] == h[hit]
+        out = np.zeros(len(h), np.int64)
+        out[hit] = self.row[place[hit]]
+        new = np.flatnonzero(~hit)
         if not len(new):
             return out
-        strings = [unit(j) for j in new.tolist()]
-        lengths = np.array([len(s) for s in strings])
-        found, order = [], []
-        for n in np.unique(lengths).tolist():
-            same = np.flatnonzero(lengths == n)
-            if n <= LONGEST_AT_ONCE:
-                for a in range(0, len(same), 4096):
-                    order.append(same[a : a + 4096])
-                    found.append(self.model.many([strings[j] for j in order[-1].tolist()]))
-            else:
-                for j in same.tolist():
-                    score, gap, ids = self.model.best_and_gap(strings[j])
-                    order.append(same[same == j])
-                    found.append(([score], [gap], np.array(ids, np.int32), [len(ids)]))
-        base = len(self.score)
-        size = np.concatenate([x[3] for x in found]).astype(np.int64)
-        self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(size) - size))
-        self.ids = np.concatenate((self.ids, *(x[2] for x in found)))
-        self.size = np.concatenate((self.size, size))
-        self.score = np.concatenate((self.score, *(x[0] for x in found)))
-        self.gap = np.concatenate((self.gap, *(x[1] for x in found)))
-        at = new[np.concatenate(order)]
-        out[at] = base + np.arange(len(at))
-        self.row.update(zip(h[at].tolist(), out[at].tolist()))
+        size = (end - start)[new]
+        order = np.argsort(size, kind="stable")
+        base, total = self._score.size, np.cumsum(size[order])
+        many = int(np.searchsorted(size[order], LONGEST_AT_ONCE, "right"))
+        done = 0
+        while done < many:
+            to = max(done + 1, int(np.searchsorted(total[:many], (total[done - 1] if done else 0) + BLOCK_BYTES)))
+            some = new[order[done:to]]
+            n = end[some] - start[some]
+            own = data[np.arange(int(n.sum())) + np.repeat(start[some] - np.cumsum(n) + n, n)]
+            self._add(*self.model.many(own, n))
+            done = to
+        for j in new[order[many:]].tolist():
+            score, gap, ids = self.model.best_and_gap(data[start[j] : end[j]].tobytes().decode().replace(" ", SPACE))
+            self._add(np.array([score]), np.array([gap]), np.array(ids, np.int32), np.array([len(ids)]))
+        out[new[order]] = base + np.arange(len(new))
+        self.known = np.insert(self.known, place[new], h[new])
+        self.row = np.insert(self.row, place[new], out[new])
         return out
 
     def others(self, row: int, unit: str, n: int) -> list[tuple[float, np.ndarray]]:
@@ -355,22 +393,19 @@ def encode_chunk(model: PieceModel, cache: UnitCache, texts: pa.Array, n: int) -
     out: list[list[tuple[float, np.ndarray]]] = [[(0.0, np.zeros(0, np.int32))] for _ in full]
     if not len(data):
         return out
-    space = data == 32
-    begins = space.copy()
-    begins[1:] &= ~space[:-1]
+    begins = np.ones(len(data), bool)
+    begins[1:] = ~model.beside[data[:-1], data[1:]] & ((data[1:] & 0xC0) != 0x80)
     begins[off[:-1][full]] = True
     start = np.flatnonzero(begins)
     end = np.append(start[1:], len(data))
-    h = span_hashes(data, start, end)
-    distinct, sample, inverse = np.unique(h, return_index=True, return_inverse=True)
+    distinct, sample, inverse = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
 
     def unit(j: int) -> str:
         i = sample[j]
         return data[start[i] : end[i]].tobytes().decode().replace(" ", SPACE)
 
-    rows = cache.rows(distinct, unit)
-    row = rows[inverse]
-    size = cache.size[row]
+    row = cache.rows(distinct, data, start[sample], end[sample])[inverse]
+    size = cache.size[row].astype(np.int64)
     to = np.cumsum(size)
     ids = cache.ids[np.arange(int(to[-1])) - np.repeat(to - size - cache.at[row], size)]
     first = np.searchsorted(start, off)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
-_POSITIONS = 1 << 12
+_POSITIONS = 1 << 12  # how many keys of positions are kept in a table
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_KEYS = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -98,9 +98,11 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     begin = np.cumsum(size) - size
     place = np.arange(total) - np.repeat(begin, size)
     byte = data[place + np.repeat(start, size)]
-    if int(size.max()) > _POSITIONS:
-        place = place % _POSITIONS + (place // _POSITIONS) * 0
-    terms = BYTE_KEYS[byte] * POSITION_KEYS[place]
+    if int(size.max()) <= _POSITIONS:
+        key = POSITION_KEYS[place]
+    else:  # the table's keys, and beyond it those of a generator
+        key = np.where(place < _POSITIONS, POSITION_KEYS[np.minimum(place, _POSITIONS - 1)], mix(place.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1))
+    terms = BYTE_KEYS[byte] * key
     h = np.add.reduceat(terms, begin) + size.astype(np.uint64) * U64(0x9E3779B97F4A7C15)
     return mix(h)
 
