@@ -9,17 +9,21 @@ a time with numpy.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptloom.llm.common import shared
 from scriptloom.llm.textbatch import U64, mix
 
-#: A filter of so many keys (72 MB) is the largest that is sent whole to executors.
+#: Filters of so many keys (72 MB) are the largest that are sent whole to executors. Beyond it rows are joined unscreened: slower, with the same result.
 BROADCAST_KEYS = 64_000_000
+BUCKET_KEYS = 1 << 16
+FILTER_SCHEMA = "bucket int, seed long, segment int, segments int, slots binary"
 
 
 @dataclass
@@ -97,24 +101,69 @@ class BinaryFuse8:
         return cls(int(seed) & (2**64 - 1), int(segment), int(segments), np.frombuffer(slots, np.uint8))
 
 
-def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.shiftright(key, 20), F.lit(buckets)).cast("int")
+
+
+class BucketFilters:
+    """The filters of all buckets, end to end: a key is looked for in its bucket's."""
+
+    def __init__(self, rows: list[tuple], buckets: int):
+        size = np.array([len(r[4]) for r in rows], np.int64)
+        self.buckets, self.slots = buckets, np.frombuffer(b"".join(bytes(r[4]) for r in rows), np.uint8)
+        self.seed, self.segment, self.segments, self.at = np.zeros(buckets, np.uint64), np.zeros(buckets, np.int64), np.zeros(buckets, np.uint64), np.full(buckets, -1, np.int64)
+        b = np.array([r[0] for r in rows], np.int64)
+        self.seed[b] = np.array([r[1] for r in rows], np.int64).view(np.uint64)
+        self.segment[b], self.segments[b], self.at[b] = [r[2] for r in rows], [r[3] for r in rows], np.cumsum(size) - size
+
+    def contains(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each long may be in its bucket; surely not where False."""
+        b = (keys >> 20) % self.buckets
+        out = self.at[b] >= 0
+        keys, b = keys[out].view(np.uint64), b[out]
+        segment, h = self.segment[b], mix(keys + self.seed[b])
+        start = self.at[b] + ((h >> U64(32)) * self.segments[b] >> U64(32)).astype(np.int64) * segment
+        inner, mask = mix(h ^ U64(0xA5A5A5A5A5A5A5A5)), (segment - 1).astype(np.uint64)
+        found = np.zeros(len(keys), np.uint8)
+        for k in range(3):
+            found ^= self.slots[start + k * segment + ((inner >> U64(20 * k)) & mask).astype(np.int64)]
+        out[out] = found == (h & U64(255)).astype(np.uint8)
+        return out
+
+
+def screening(keys: DataFrame, key: str) -> Callable[[], BucketFilters] | None:
+    """Filters of a long column for the executors, or None beyond BROADCAST_KEYS.
+
+    Executors build a filter for each bucket of some BUCKET_KEYS keys; the driver gathers the filters, 9 bits a key, never the keys.
+    """
+    spark, n = keys.sparkSession, keys.count()
+    if n > BROADCAST_KEYS:
+        return None
+    buckets = max(1, -(-n // BUCKET_KEYS))
+
+    def build(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        f = BinaryFuse8.of(rows["k"].to_numpy(np.int64).view(np.uint64))
+        return pd.DataFrame([(int(group[0]), *f.to_row())], columns=["bucket", "seed", "segment", "segments", "slots"])
+
+    k = keys.select(F.col(key).cast("long").alias("k")).where("k is not null").withColumn("bucket", bucket_of(F.col("k"), buckets))
+    rows = k.groupBy("bucket").applyInPandas(build, FILTER_SCHEMA).collect() if n else []
+    return shared(spark, BucketFilters([tuple(r) for r in rows], buckets))
+
+
+def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows whose key (a long column) surely isn't in the column key of keys, and those where it may be.
 
-    Where keys number up to BROADCAST_KEYS, the rows are screened by a filter in each executor, so that rows
-    which are surely absent are never shuffled. Beyond that the first part is empty (None second: use all).
+    Where keys number up to BROADCAST_KEYS, the rows are screened by filters in each executor, so that rows
+    which are surely absent are never shuffled. Beyond that the first part is empty. A null key is surely absent.
     The caller joins the second part exactly.
     """
-    n = keys.count()
-    if n > BROADCAST_KEYS:
-        return df.where("false"), df
-    spark = df.sparkSession
-    # 8 bytes a key, 512 MB at the bound; the driver builds the filter.
-    found = keys.select(F.col(key).cast("long").alias("k")).toArrow()["k"].drop_null().to_numpy()
-    shared = spark.sparkContext.broadcast(BinaryFuse8.of(found.view(np.uint64)))
+    found = screening(keys, key)
+    if found is None:
+        return df.where(F.col(key).isNull()), df.where(F.col(key).isNotNull())
 
     @F.pandas_udf("boolean")
     def maybe(k: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.contains(k.to_numpy(np.int64).view(np.uint64)))
+        return pd.Series(found().contains(k.to_numpy(np.int64)))
 
-    test = maybe(F.coalesce(F.col(key), F.lit(0).cast("long"))) if n else F.lit(False)
+    test = F.col(key).isNotNull() & maybe(F.coalesce(F.col(key), F.lit(0).cast("long")))
     return df.where(~test), df.where(test)

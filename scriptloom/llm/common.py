@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -55,5 +59,45 @@ def worker_state() -> dict:
     return sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state")).__dict__
 
 
-def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[df[f"`{c}`"] for c in like.columns])
+def shared(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function that gives the value on the executors. It is broadcast with its classes' code, so that they need no package of ours."""
+    sent, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    def get() -> object:
+        kept = worker_state().setdefault("shared", {})
+        if key not in kept:
+            while len(kept) >= 4:
+                kept.pop(next(iter(kept)))
+            kept[key] = pickle.loads(sent.value)
+            sent.__dict__.pop("_value", None)  # the bytes aren't needed any more
+        return kept[key]
+
+    return get
+
+
+def _place(df: DataFrame, name: str) -> int:
+    """The place of the column of just this name; names that differ in case only count where there is no such column."""
+    names = df.columns
+    return names.index(name) if name in names else [c.lower() for c in names].index(name)
+
+
+def picked(df: DataFrame, **kinds: str) -> DataFrame:
+    """The named columns alone, cast, whatever other columns there are."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"c{_place(df, name)}").cast(kind).alias(name) for name, kind in kinds.items()])
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    return picked(docs, doc_id="long", text="string")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): all columns in one struct, so that no name of theirs meets one of ours."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.select(F.struct(*plain.columns).alias("row"), *[F.col(f"c{_place(docs, n)}").cast(k).alias(n) for n, k in (("doc_id", "long"), ("text", "string"))])
+
+
+def unpacked(df: DataFrame, like: DataFrame, text: str | None = None) -> DataFrame:
+    """The columns of like from df's column row; text: the column that takes the place of the one of that name."""
+    row = F.col("row") if text is None else F.col("row").withField(f"c{_place(like, 'text')}", F.col(text))
+    return df.select(row.alias("row")).select("row.*").toDF(*like.columns)

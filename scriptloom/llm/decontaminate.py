@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptloom.llm.common import id_and_text, picked, shared
 from scriptloom.llm.textbatch import U64, chunks, shingles, words
 
 SHINGLE = 3
@@ -198,7 +199,7 @@ class ItemIndex:
 
 
 def _indexes(benchmark: DataFrame) -> Iterator[ItemIndex]:
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    b = picked(benchmark, item_id="long", text="string")
     total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // ITEM_BYTES)
     for k in range(parts):
@@ -209,20 +210,20 @@ def _indexes(benchmark: DataFrame) -> Iterator[ItemIndex]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, place) for each document and item of which some window matches."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = id_and_text(docs)
     spark = docs.sparkSession
 
     def one(index: ItemIndex) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
+        items = shared(spark, index)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in chunks(batch, size=1 << 19):
                     rows, out = [], []
-                    for row, found in shared.value.matches(part.column("text")):
+                    for row, found in items().matches(part.column("text")):
                         for item, (s, place) in sorted(found.items()):
                             rows.append(row)
-                            out.append((shared.value.ids[item], s, place))
+                            out.append((items().ids[item], s, place))
                     if rows:
                         ids = part.column("doc_id").take(pa.array(rows))
                         yield pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.int32())], ["doc_id", "item_id", "similarity", "place"])
@@ -236,13 +237,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that match no item: a filter without a join, a pass for each part of the items."""
     for index in _indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        items = shared(docs.sparkSession, index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in chunks(batch, size=1 << 19):
                     keep = np.ones(part.num_rows, bool)
-                    keep[[row for row, _ in shared.value.matches(part.column("text"))]] = False
+                    keep[[row for row, _ in items().matches(part.column("text"))]] = False
                     yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -22,24 +22,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptloom.llm.binary_fuse import BinaryFuse8, split_by_keys
-from scriptloom.llm.common import written
+from scriptloom.llm.binary_fuse import BUCKET_KEYS, BinaryFuse8, bucket_of, split_by_keys
+from scriptloom.llm.common import packed, picked, unpacked, written
 
 BATCHES = 4
-BUCKET_KEYS = 1 << 16
 _FILTERS = "bucket int, batch int, seed long, segment int, segments int, slots binary"
 _HITS = "digest long, batch int"
 
 
 def digests(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(doc_id, digest, batch, n) of each distinct document that has a text; batches are equal ranges of doc_id."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("digest"), F.col("text").isNull().alias("none")).where("not none")
-    d = d.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
-    ends = docs.agg(F.min(F.col("doc_id").cast("long")).alias("lo"), F.max(F.col("doc_id").cast("long")).alias("hi")).first()
+    d = _keyed(docs).where("digest is not null").groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    ends = picked(docs, doc_id="long").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     if ends["lo"] is None:
         return d.withColumn("batch", F.lit(0))
     width = max(1, -(-(ends["hi"] - ends["lo"] + 1) // batches))
-    batch = F.floor((F.col("doc_id") - F.lit(ends["lo"])) / F.lit(float(width))).cast("int")
+    # Doubles: the ids may span all longs, and rounding keeps their order.
+    batch = F.floor((F.col("doc_id").cast("double") - F.lit(float(ends["lo"]))) / F.lit(float(width))).cast("int")
     return d.withColumn("batch", F.coalesce(F.greatest(F.lit(0), F.least(F.lit(batches - 1), batch)), F.lit(batches - 1)))
 
 
@@ -72,7 +71,7 @@ def repeated_digests(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame
     """The digest table, and the digests that occur in two batches or twice in one."""
     d = written(digests(docs, batches), "digests")
     buckets = max(1, -(-d.count() // (BUCKET_KEYS * batches)))
-    d = d.withColumn("bucket", F.pmod(F.shiftright("digest", 20), F.lit(buckets)).cast("int"))
+    d = d.withColumn("bucket", bucket_of(F.col("digest"), buckets))
     hits = screen(d, snapshot_filters(d)).distinct().alias("new")
     old = d.select("digest", F.col("batch").alias("old_batch")).distinct()
     across = hits.join(old, "digest").where("old_batch < batch").select("digest").distinct()
@@ -80,30 +79,32 @@ def repeated_digests(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame
     return d, written(across.unionByName(inside).distinct(), "repeated-digests")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text, digest); the digest of a null text is null."""
+    return packed(docs).withColumn("digest", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+
+
 def _texts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The documents, all columns, of repeated digests."""
-    keyed = docs.withColumn("__digest", F.when(F.col("text").isNotNull(), F.xxhash64(F.col("text").cast("string"))))
-    _, maybe = split_by_keys(keyed, "__digest", repeated.withColumnRenamed("digest", "__digest"))
-    return maybe.join(repeated.withColumnRenamed("digest", "__digest"), "__digest", "left_semi")
+    """(digest, text, doc_id) of the documents of repeated digests."""
+    _, maybe = split_by_keys(_keyed(docs).select("digest", "text", "doc_id"), "digest", repeated)
+    return maybe.join(repeated, "digest", "left_semi")
 
 
 def _groups(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """One row for each distinct text of a repeated digest: its first document and number of variants of the digest."""
-    rows = _texts(docs, repeated).select("__digest", F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    firsts = rows.groupBy("__digest", "text").agg(F.min("doc_id").alias("first"))
-    return firsts.withColumn("variants", F.count("*").over(Window.partitionBy("__digest")))
+    firsts = _texts(docs, repeated).groupBy("digest", "text").agg(F.min("doc_id").alias("first"))
+    return firsts.withColumn("variants", F.count("*").over(Window.partitionBy("digest")))
 
 
 def later_copies(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(doc_id, duplicate_of) for each row that is a later copy."""
     d, repeated = repeated_digests(docs, batches)
     groups = written(_groups(docs, repeated), "exact-groups")
-    one = groups.where("variants = 1").select(F.col("__digest").alias("digest"), "first")
+    one = groups.where("variants = 1").select("digest", "first")
     plain = d.join(one, "digest").select("doc_id", "first", "n")
-    many = groups.where("variants > 1").select("__digest", "text", "first")
-    clash = _texts(docs, many.select(F.col("__digest").alias("digest")).distinct())
-    clash = clash.select("__digest", F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")).join(many, ["__digest", "text"])
-    clash = clash.groupBy("doc_id", "first", "__digest", "text").agg(F.count("*").alias("n")).select("doc_id", "first", "n")
+    many = groups.where("variants > 1").select("digest", "text", "first")
+    clash = _texts(docs, many.select("digest").distinct()).join(many, ["digest", "text"])
+    clash = clash.groupBy("doc_id", "first", "digest", "text").agg(F.count("*").alias("n")).select("doc_id", "first", "n")
     times = F.col("n") - F.col("doc_id").eqNullSafe(F.col("first")).cast("int")
     every = plain.unionByName(clash).withColumn("times", times.cast("int")).where("times > 0")
     return every.select("doc_id", F.col("first").alias("duplicate_of"), F.explode(F.array_repeat(F.lit(1), F.col("times")))).drop("col")
@@ -112,19 +113,14 @@ def later_copies(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 def keep_first(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """The documents, all columns, without later copies. Those of unrepeated digests pass without a shuffle."""
     _, repeated = repeated_digests(docs, batches)
-    keyed = docs.withColumn("__digest", F.when(F.col("text").isNotNull(), F.xxhash64(F.col("text").cast("string"))))
-    surely, maybe = split_by_keys(keyed, "__digest", repeated.withColumnRenamed("digest", "__digest"))
-    known = repeated.withColumnRenamed("digest", "__digest")
-    single = maybe.join(known, "__digest", "left_anti")
-    groups = written(_groups(docs, repeated), "exact-groups")
-    twice = maybe.join(known, "__digest", "left_semi").withColumn("__id", F.col("doc_id").cast("long"))
-    first = groups.select("__digest", F.col("text").alias("__text"), F.col("first").alias("__id"))
-    same = (twice["__digest"] == first["__digest"]) & twice["__id"].eqNullSafe(first["__id"]) & (twice["text"].cast("string") == first["__text"])
-    firsts = twice.join(first, same, "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]))] if others else [F.lit(0)]
-    one = firsts.withColumn("__n", F.row_number().over(Window.partitionBy("__digest", "__id", "text").orderBy(*order))).where("__n = 1")
-    return surely.unionByName(single).select(*docs.columns).unionByName(one.select(*docs.columns))
+    surely, maybe = split_by_keys(_keyed(docs), "digest", repeated)
+    single = maybe.join(repeated, "digest", "left_anti")
+    twice = maybe.join(repeated, "digest", "left_semi")
+    first = written(_groups(docs, repeated), "exact-groups").select("digest", "text", F.col("first").alias("doc_id"))
+    same = (twice["digest"] == first["digest"]) & twice["doc_id"].eqNullSafe(first["doc_id"]) & (twice["text"] == first["text"])
+    w = Window.partitionBy("digest", "doc_id", "text").orderBy(F.to_json("row"))
+    one = twice.join(first, same, "left_semi").withColumn("n", F.row_number().over(w)).where("n = 1")
+    return unpacked(surely.select("row").unionByName(single.select("row")).unionByName(one.select("row")), docs)
 
 
 #: DuckDB.

@@ -27,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptloom.llm.binary_fuse import split_by_keys
-from scriptloom.llm.common import written
+from scriptloom.llm.common import id_and_text, packed, unpacked, written
 from scriptloom.llm.components import components
 from scriptloom.llm.textbatch import U64, chunks, mix, shingles, words
 
@@ -189,8 +189,7 @@ def _identity(unique: np.ndarray) -> tuple[int, int]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return id_and_text(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
 def _verified(texts: DataFrame) -> DataFrame:
@@ -266,22 +265,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", "group_id", "group_size")
 
 
-def _row_key() -> Column:
-    return F.xxhash64(F.col("text").cast("string"))
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without near copies of a kept one."""
-    found = written(groups(docs).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("group_id").alias("__g"), "group_size").distinct(), "near-groups")
-    first = found.groupBy("__g").agg(F.min(F.struct(F.col("__d").isNull(), "__d", "__h")).alias("s")).select("__g", F.col("s.__d").alias("__fd"), F.col("s.__h").alias("__fh"))
-    keyed = docs.withColumn("__h", _row_key())
-    surely, maybe = split_by_keys(keyed, "__h", found.select("__h").distinct())
-    seen = found.select("__d", F.col("__h").alias("__th")).distinct()
-    same = (maybe["__h"] == seen["__th"]) & maybe["doc_id"].cast("long").eqNullSafe(seen["__d"])
-    single = maybe.join(seen, same, "left_anti")
-    lead = (maybe["__h"] == first["__fh"]) & maybe["doc_id"].cast("long").eqNullSafe(first["__fd"])
-    leads = maybe.join(first, lead, "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]))] if others else [F.lit(0)]
-    one = leads.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy(*order))).where("__n = 1")
-    return surely.unionByName(single).select(*docs.columns).unionByName(one.select(*docs.columns))
+    found = written(groups(docs).select("doc_id", "text_hash", "group_id").distinct(), "near-groups")
+    first = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s")).select("s.doc_id", "s.text_hash")
+    surely, maybe = split_by_keys(packed(docs).select("row", "doc_id", F.xxhash64("text").alias("text_hash")), "text_hash", found.select("text_hash").distinct())
+    same = lambda other: (maybe["text_hash"] == other["text_hash"]) & maybe["doc_id"].eqNullSafe(other["doc_id"])
+    seen = found.select("doc_id", "text_hash")
+    single = maybe.join(seen, same(seen), "left_anti")
+    one = maybe.join(first, same(first), "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.to_json("row")))).where("n = 1")
+    return unpacked(surely.select("row").unionByName(single.select("row")).unionByName(one.select("row")), docs)

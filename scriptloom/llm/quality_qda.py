@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import written
+from scriptloom.llm.common import id_and_text, picked, shared, written
 from scriptloom.llm.textbatch import U64, byte_buffer, chunks, mix, shingles, words
 
 POOL = 0.3
@@ -83,7 +83,15 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 x = statistics(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c) for c in x.T)], ["doc_id", *STATISTICS])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, STATS_SCHEMA)
+    return id_and_text(docs).mapInArrow(run, STATS_SCHEMA)
+
+
+def forward_substituted(low: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """z of low z = y for a lower triangle; y has a column for each document."""
+    z = np.empty_like(y)
+    for i in range(len(low)):
+        z[i] = (y[i] - low[i, :i] @ z[:i]) / low[i, i]
+    return z
 
 
 @dataclass
@@ -94,9 +102,7 @@ class QuadraticModel:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """log density of class 1 less that of class 0, with priors."""
-        half = []
-        for m, low in zip(self.means, self.factors):
-            half.append(0.5 * (np.linalg.solve(low, (x - m).T) ** 2).sum(axis=0))
+        half = [0.5 * (forward_substituted(low, (x - m).T) ** 2).sum(axis=0) for m, low in zip(self.means, self.factors)]
         return self.offset + half[0] - half[1]
 
 
@@ -118,7 +124,7 @@ def model_of(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, pool: f
 
 def fit(stats: DataFrame, labels: DataFrame, pool: float = POOL, ridge: float = RIDGE) -> QuadraticModel | None:
     """Moments over all labelled documents, added up by one aggregate; the driver gets 2 rows of 91 numbers."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good"))
+    known = picked(labels, doc_id="long", quality="int").withColumnRenamed("quality", "good")
     known = known.where("doc_id is not null and good is not null").groupBy("doc_id").agg((F.min("good") > 0).cast("int").alias("good"))
     d = len(STATISTICS)
     sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(STATISTICS)]
@@ -134,11 +140,11 @@ def score(stats: DataFrame, model: QuadraticModel | None) -> DataFrame:
     """doc_id, the log density difference, and whether the document counts as good."""
     if model is None:
         return stats.select("doc_id", F.lit(0.0).alias("score"), F.lit(True).alias("good"))
-    shared = stats.sparkSession.sparkContext.broadcast(model)
+    fitted = shared(stats.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = shared.value.score(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in STATISTICS]))
+            s = fitted().score(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in STATISTICS]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array(s >= 0)], ["doc_id", "score", "good"])
 
     return stats.mapInArrow(run, "doc_id long, score double, good boolean")

@@ -18,7 +18,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.plan_growth(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return sharding.plan_growth(table(spark, sf_dir, "documents"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import worker_state
+from scriptloom.llm.common import id_and_text, worker_state
 from scriptloom.llm.textbatch import U64, byte_buffer, chunks, span_hashes
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -498,7 +498,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, n: int = N_BEST) -> Da
                     ["doc_id", "n_tokens", "round_trip", "segmentations"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return id_and_text(docs).mapInArrow(run, SCHEMA)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", model_path: str = MODEL_PATH) -> DataFrame:
@@ -516,6 +516,10 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", model_pat
             model = PieceModel(blob.value)
             state["pieces", key] = (model, UnitCache(model))
         model = state["pieces", key][0]
-        return pd.Series([None if x is None else model.decode([int(i) for i in x]) for x in lists], dtype=object)
+        full = [np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in lists]
+        blob_end = np.append(0, np.cumsum(model.blob_size[np.concatenate([np.zeros(0, np.int64), *full])]))
+        text, to = model.decode_many(np.concatenate([np.zeros(0, np.int64), *full])).tobytes(), blob_end[np.append(0, np.cumsum([len(x) for x in full]))].tolist()
+        found = [text[a:b].decode("utf-8", "replace") for a, b in zip(to, to[1:])]
+        return pd.Series([None if x is None else t[1:] if model.dummy_prefix and t[:1] == " " else t for x, t in zip(lists, found)], dtype=object)
 
     return encoded.withColumn(out, text(F.col(ids)))

@@ -6,7 +6,8 @@ and m / (n + m) of the keys in expectation, the least possible.
 
 Keys are the first 64 bits of the MD5 of the key column's string form, so they don't depend on the engine
 or on where a row lies. A null key is hashed as the empty string. Repeated rows go to the same shard;
-every row gets a shard; further columns are kept, and a column named as a new one is an error.
+every row gets a shard; further columns are kept, and a column named as a new one, in
+any case, is an error.
 """
 
 from __future__ import annotations
@@ -52,22 +53,32 @@ def shard_of(c: Column, shards: int) -> Column:
     return udf(key_of(c))
 
 
+def _must_be_new(df: DataFrame, *names: str) -> None:
+    there = {c.lower() for c in df.columns}
+    if taken := [n for n in names if n.lower() in there]:
+        raise ValueError(f"there is a column {taken[0]} already")
+
+
 def assign(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, out: str = "shard") -> DataFrame:
     """The table with each row's shard. No shuffle; only the key goes through Python."""
-    if out in df.columns:
-        raise ValueError(f"there is a column {out} already")
+    _must_be_new(df, out)
     return df.withColumn(out, shard_of(F.col(f"`{key}`"), shards))
 
 
-def write(df: DataFrame, path: str, key: str = "doc_id", shards: int = SHARDS) -> None:
-    """Writes the rows to a folder shard=k for each shard: one shuffle, by shard."""
-    assign(df, key, shards).repartition("shard").write.partitionBy("shard").parquet(path)
+def write(df: DataFrame, path: str, key: str = "doc_id", shards: int = SHARDS, file_rows: int = 1_000_000) -> None:
+    """Writes the rows to a folder shard=k for each shard, in files of some file_rows rows: one shuffle, by shard and a salt
+    that spreads a shard's rows, those of a hot key too, over its files."""
+    files = max(1, -(-df.count() // (shards * file_rows)))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) + F.spark_partition_id(), F.lit(files))
+    placed = assign(df, key, shards)
+    placed.repartition(min(shards * files, 100_000), "shard", salt).write.partitionBy("shard").parquet(path)
 
 
 def plan_growth(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, to: int = SHARDS_NEXT) -> DataFrame:
     """The table with each row's shard now and after shards are appended, and whether it moves."""
     if to < shards:
         raise ValueError("shards can only be appended")
+    _must_be_new(df, "shard", "next_shard", "moves")
     now = assign(df, key, shards)
     return assign(now, key, to, "next_shard").withColumn("moves", F.col("shard") != F.col("next_shard"))
 
@@ -75,7 +86,7 @@ def plan_growth(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, to: in
 #: DuckDB: the same walk as a recursive query; 128-bit arithmetic stands for wrapping 64-bit products.
 ORACLE_SQL = """
 WITH RECURSIVE keyed AS (
-  SELECT row_number() OVER () AS rn, doc_id, source,
+  SELECT row_number() OVER () AS rn, documents.*,
          (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16))::UBIGINT)::UHUGEINT AS key FROM documents),
 walk(rn, n, key, b, j) AS (
   SELECT rn, n, key, -1::BIGINT, 0::BIGINT FROM keyed, (VALUES ({now}), ({to})) t(n)
@@ -83,6 +94,6 @@ walk(rn, n, key, b, j) AS (
   SELECT rn, n, k2, j, floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((k2 >> 33) + 1)::DOUBLE))::BIGINT
   FROM (SELECT rn, n, j, (key * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS k2 FROM walk WHERE j < n)),
 done AS (SELECT rn, n, b FROM walk WHERE j >= n)
-SELECT k.doc_id, k.source, a.b::INT AS shard, c.b::INT AS next_shard, a.b <> c.b AS moves
+SELECT k.* EXCLUDE (rn, key), a.b::INT AS shard, c.b::INT AS next_shard, a.b <> c.b AS moves
 FROM keyed k JOIN done a ON a.rn = k.rn AND a.n = {now} JOIN done c ON c.rn = k.rn AND c.n = {to}
 """.replace("{now}", str(SHARDS)).replace("{to}", str(SHARDS_NEXT))

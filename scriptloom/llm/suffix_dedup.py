@@ -31,12 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptloom.llm.binary_fuse import BROADCAST_KEYS, BinaryFuse8, split_by_keys
-from scriptloom.llm.common import written
+from scriptloom.llm.binary_fuse import screening, split_by_keys
+from scriptloom.llm.common import id_and_text, packed, unpacked, written
 from scriptloom.llm.textbatch import U64, Words, chunks, mix, words
 
 MIN_WORDS = 50
@@ -219,9 +220,8 @@ def row_factors(bucket: np.ndarray, rank: np.ndarray, low: np.ndarray, high: np.
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.md5(text.cast("binary")).alias("text_key"), text.alias("text"))
-    return d.where(text.isNotNull())
+    d = id_and_text(docs).where("text is not null")
+    return d.select("doc_id", F.xxhash64("text").alias("text_hash"), F.md5(F.col("text").cast("binary")).alias("text_key"), "text")
 
 
 def _anchor_hashes(docs: DataFrame) -> DataFrame:
@@ -238,18 +238,14 @@ def _anchor_hashes(docs: DataFrame) -> DataFrame:
 
 def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """The repeated anchors with the words around them. Where repeated anchors are too many for a filter, all anchors."""
-    shared = None
-    if repeated.count() <= BROADCAST_KEYS:
-        # 8 bytes a key, 512 MB at the bound; the driver builds the filter, a ninth of that is sent.
-        found = repeated.select("anchor").toArrow()["anchor"].to_numpy()
-        shared = docs.sparkSession.sparkContext.broadcast(BinaryFuse8.of(found.view(np.uint64)))
+    known = screening(repeated, "anchor")
     span = np.arange(-BEFORE, MIN_WORDS)
 
     def rows(w: Words, part: pa.RecordBatch) -> pa.RecordBatch | None:
         h = w.hashes()
         at, g = anchors(h, w.first)
-        if shared and len(at):
-            keep = shared.value.contains(g)
+        if known and len(at):
+            keep = known().contains(g.view(np.int64))
             at, g = at[keep], g[keep]
         if not len(at):
             return None
@@ -354,40 +350,33 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     w = words(pa.array([text], pa.large_string()))
-    lower = len(w.data)
     raw = text.encode()
-    if len(raw) != lower:  # lower case changed a character's size: find the words by characters' places instead
-        sizes = np.array([len(c.encode()) for c in text])
-        low = np.array([len(words_lower.encode()) for words_lower in _lowered(text)])
-        a, b = np.append(0, np.cumsum(low)), np.append(0, np.cumsum(sizes))
-        move = lambda x: int(b[np.searchsorted(a, x)])
-    else:
-        move = int
+    move = int
+    if not text.isascii():  # lower case may change a character's size: words are found by characters' places instead
+        own, low = np.array([len(c.encode()) for c in text]), pc.binary_length(pc.utf8_lower(pa.array(list(text), pa.string()))).to_numpy()
+        if (own != low).any():
+            a, b = np.append(0, np.cumsum(low)), np.append(0, np.cumsum(own))
+            move = lambda x: int(b[np.searchsorted(a, x)])
     out, done = [], 0
     for start, stop in sorted(spans):
         begin, end = move(w.start[start]), move(w.end[stop - 1])
         out.append(raw[done:begin])
         done = end
-    return b"".join([*out, raw[done:]]).decode("utf-8", "replace")
-
-
-def _lowered(text: str) -> list[str]:
-    import pyarrow.compute as pc
-
-    return pc.utf8_lower(pa.array(list(text), pa.string())).to_pylist()
+    return b"".join([*out, raw[done:]]).decode()
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, with the spans of later copies cut out of text; a row that repeats another row keeps the text of one."""
-    found = _spans(docs).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
-    found = written(found.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "__spans"), "spans")
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
-    sure, maybe = split_by_keys(keyed, "__key", found.select(F.col("__hash").alias("__key")).distinct())
-    joined = maybe.join(found, (maybe["__key"] == found["__hash"]) & maybe["doc_id"].cast("long").eqNullSafe(found["__doc"]), "left")
+    found = _spans(docs).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    found = written(found, "spans").alias("found")
+    keyed = packed(docs).withColumn("text_hash", F.xxhash64("text"))
+    sure, maybe = split_by_keys(keyed, "text_hash", found.select("text_hash").distinct())
+    maybe = maybe.alias("maybe")
+    joined = maybe.join(found, (F.col("maybe.text_hash") == F.col("found.text_hash")) & F.col("maybe.doc_id").eqNullSafe(F.col("found.doc_id")), "left").select("row", "text", "spans")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else _cut(t, [(x["start"], x["stop"]) for x in s]) for t, s in zip(texts, spans)], dtype=object)
 
-    done = joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text").cast("string")).otherwise(cut(F.col("text").cast("string"), F.col("__spans"))))
-    return sure.select(*docs.columns).unionByName(done.select(*docs.columns))
+    done = joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans")))
+    return unpacked(sure.select("row", "text").unionByName(done.select("row", "text")), docs, "text")

@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptloom.llm.common import id_and_text, picked, shared
 from scriptloom.llm.textbatch import U64, Words, chunks, mix, words
 
 BITS = 22
@@ -154,12 +155,12 @@ def fit_texts(texts: list[str], toxic: np.ndarray, share: float) -> OrdinalModel
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> OrdinalModel:
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("t"))
+    known = picked(labels, doc_id="long", toxic="int").withColumnRenamed("toxic", "t")
     known = known.where("doc_id is not null and t is not null").groupBy("doc_id").agg((F.max("t") > 0).alias("t"))
     counts = {bool(r["t"]): r["count"] for r in known.groupBy("t").count().collect()}
     if len(counts) < 2:
         return fit_texts([], np.zeros(0, bool), 0.0)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = id_and_text(docs)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("t").orderBy(*order).limit(max_per_class).unionByName(known.where("not t").orderBy(*order).limit(max_per_class))
     # At most 2 * max_per_class pairs of 9 bytes: small by the bound, so they can be sent to all executors.
@@ -188,27 +189,29 @@ def _place(model: OrdinalModel) -> np.ndarray:
 
 def score(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT) -> DataFrame:
     """doc_id, P(grade >= 1), the expected severity, the most probable grade, and whether P(grade >= 1) reaches reject_at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fitted = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = _place(shared.value)
+        model = fitted()
+        place = _place(model)
         for batch in batches:
-            p, _ = score_batch(batch, shared.value, place)
+            p, _ = score_batch(batch, model, place)
             each = -np.diff(np.concatenate((np.ones((len(p), 1)), p, np.zeros((len(p), 1))), axis=1), axis=1)
             out = [batch.column("doc_id"), p[:, 0], p.sum(axis=1), each.argmax(axis=1).astype(np.int32), p[:, 0] >= reject_at]
             yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in out], ["doc_id", "p_toxic", "expected_severity", "grade", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return id_and_text(docs).mapInArrow(run, SCHEMA)
 
 
 def keep_clean(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT) -> DataFrame:
     """The rows of docs, all columns, that the model doesn't reject. The score is of the row's own text, so no join is needed."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fitted = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = _place(shared.value)
+        model = fitted()
+        place = _place(model)
         for batch in batches:
-            p, _ = score_batch(batch, shared.value, place)
+            p, _ = score_batch(batch, model, place)
             yield batch.filter(pa.array(p[:, 0] < reject_at))
 
     return docs.mapInArrow(run, docs.schema)
