@@ -93,7 +93,10 @@ def normalized(text: Column, rules: dict[int, list[int]]) -> Column:
 
 def special_split(text: Column, specials: list[str]) -> Column:
     """The text cut at special tokens, longest first, the tokens kept and empty pieces dropped."""
-    some = "|".join(rf"\Q{s}\E" for s in sorted(specials, key=len, reverse=True))
+    specials = [s for s in specials if s]
+    if not specials:
+        return F.filter(F.when(text.isNotNull(), F.array(text)), lambda p: p != "")
+    some = "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))
     return F.regexp_extract_all(text, F.lit(rf"(?s){some}|(?:(?!{some}).)+"), F.lit(0))
 
 
@@ -113,8 +116,12 @@ def pretokenized(text: Column, specials: list[str], script: str) -> Column:
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def pretokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0))
+#: A split by case, numbers of three digits at most, and lines; for vocabularies that ask for it.
+PRETOKEN_CASED = r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+
+
+def pretokens(text: Column, pattern: str = PRETOKEN) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
 def code_points(text: Column) -> Column:

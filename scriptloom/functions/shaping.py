@@ -44,6 +44,11 @@ def mapped(ids: Column, table: dict[int, int], strict: bool = False) -> Column:
     return F.filter(found, lambda x: x.isNotNull())
 
 
+def without(ids: Column, dropped: list[int]) -> Column:
+    """Ids in order, without some; nulls stay."""
+    return F.filter(ids, lambda i: ~F.coalesce(i.isin(dropped), F.lit(False)))
+
+
 def rendered_chats(turns: DataFrame, generation_prompt: bool = False) -> DataFrame:
     """(conv_id, rendered) of a table conv_id, turn, role, text: date preamble in a system turn, then every message."""
     head = lambda role: F.concat(F.lit("<|start_header_id|>"), role, F.lit("<|end_header_id|>\n\n"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptloom.operators.ranks import ranked
 
 def vocabulary(docs: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
-    """(token, id, n): words by falling count, then by name. The window has one row for each distinct word."""
-    w = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z]+"), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return w.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1)
+    """(token, id, n): words by falling count, then by name."""
+    w = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return ranked(w, F.desc("n"), "token", name="id")
 
 
 def new_tokens(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -26,8 +27,8 @@ def token_map(new: DataFrame, old: DataFrame, reusable: DataFrame) -> DataFrame:
     Fails when it is run if there are fewer such ids than new tokens, rather than leave any without an id.
     """
     common = common_tokens(new, old).select("new_id", "old_id")
-    free = reusable.join(common.select("old_id"), "old_id", "left_anti").select("old_id", F.row_number().over(Window.orderBy("old_id")).alias("k"))
-    fresh = new_tokens(new, old).select(F.col("id").alias("new_id"), F.row_number().over(Window.orderBy("id")).alias("k"))
+    free = ranked(reusable.join(common.select("old_id"), "old_id", "left_anti").select("old_id"), "old_id", name="k")
+    fresh = ranked(new_tokens(new, old).select(F.col("id").alias("new_id")), "new_id", name="k")
     # A left join keeps the tokens without an id, and each of them raises the error, whatever columns are read.
     paired = fresh.join(free, "k", "left").where("old_id is not null or raise_error(concat('no reusable id is left for new id ', new_id)) is not null")
     return paired.select("new_id", "old_id").unionByName(common)

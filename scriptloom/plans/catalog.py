@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scriptloom.functions import scripts as S
 from scriptloom.functions import shaping as H
 from scriptloom.operators import bpe, classify, idmap
+from scriptloom.operators.ranks import ranked
 from scriptloom.plans import given
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,11 +115,10 @@ def clean_kept(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {MIXED} SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, source FROM mixed QUALIFY regexp_matches(text, '{UNWANTED}')")
 def clean_rejects(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    idx = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    hit = F.col("text").rlike(UNWANTED).alias("hit")
-    return mixed(spark, d).select("doc_id", "source", hit).withColumn("idx", idx.cast("long")).where("hit").select("doc_id", "idx", "source")
+    # Places among all rows less the source's first one: a source may hold a third of them.
+    t = ranked(mixed(spark, d).select("doc_id", "source", F.col("text").rlike(UNWANTED).alias("hit")), "source", "doc_id")
+    first = t.groupBy("source").agg(F.min("rank").alias("first"))
+    return t.where("hit").join(first, "source").select("doc_id", (F.col("rank") - F.col("first")).alias("idx"), "source")
 
 
 @query(f"WITH {MIXED} SELECT source, count(*) original, count(*) FILTER (regexp_matches(text, '{UNWANTED}')) rejected, count(*) FILTER (NOT regexp_matches(text, '{UNWANTED}')) remaining FROM mixed GROUP BY ROLLUP (source)")
@@ -136,7 +136,7 @@ def clean_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 _BLOCKS = "blocks(block, lo, hi) AS (VALUES " + ", ".join(f"('{b}', {x}, {y})" for b, x, y in given.BLOCKS) + ")"
 _CHARS = "chars AS (SELECT unicode(c) cp, count(*) n FROM (SELECT unnest(string_split(text, '')) c FROM mixed) GROUP BY 1)"
-_VOCAB = "old_vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 id FROM (SELECT token, count(*) n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) token FROM documents) GROUP BY 1)), new_vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 id FROM (SELECT token, count(*) n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) token FROM benchmark) GROUP BY 1))"
+_VOCAB = "old_vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 id FROM (SELECT token, count(*) n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) token FROM documents) GROUP BY 1)), new_vocab AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 id FROM (SELECT token, count(*) n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) token FROM benchmark) GROUP BY 1))"
 _WORDS = "w AS (SELECT token, row_number() OVER (ORDER BY token) id FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\n]+')) token FROM mixed))"
 _GROUPS = "grouped AS (SELECT token, id, array_to_string(list_sort(list_distinct(list(coalesce(block, 'Unknown')))), '_') grp FROM (SELECT token, id, unnest(list_distinct(string_split(token, ''))) c FROM w) LEFT JOIN blocks ON unicode(c) BETWEEN lo AND hi WHERE coalesce(block, '') <> 'general punctuation' AND unicode(c) <> 9601 GROUP BY token, id)"
 _ALL_GROUPS = f"{MIXED}, {_BLOCKS}, {_WORDS}, {_GROUPS}"
