@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--training_data_dir")
     c.add_argument("--vocab_size", type=int)
     c.add_argument("--min_reusable_count", type=int)
+    c.add_argument("--first_reusable_id", type=int)
     c.add_argument("--target_scripts", type=_names)
     c.add_argument("--preserved_scripts", type=_names)
     c.add_argument("--special_tokens", type=_names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptloom.functions.scripts import BLOCKS, SCRIPT_BLOCKS, SCRIPT_NAMES
@@ -16,8 +16,10 @@ MORE_NAMES = {"cjk", "dingbats"}
 MERGED = ["arabic", "cjk", "greek", "latin"]
 
 
-def blocks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BLOCKS, "block string, lo int, hi int")
+def blocks(spark: SparkSession, merged: bool = False) -> DataFrame:
+    """(block, lo, hi). merged: blocks with one of MERGED in their name are one, x_merged; of several words the last one counts."""
+    name = lambda b: next((f"{k}_merged" for k in reversed(MERGED) if k in b), b) if merged else b
+    return spark.createDataFrame([(name(b), lo, hi) for b, lo, hi in BLOCKS], "block string, lo int, hi int")
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -43,17 +45,38 @@ def char_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(c).alias("c")).groupBy("c").agg(F.count("*").alias("n")).select(F.ascii("c").alias("cp"), "n")
 
 
+def group_name(found: Column) -> Column:
+    """The name of a set of blocks: they are joined by rising name, but kana with Chinese characters is kana."""
+    kana = F.array(F.lit("katakana"), F.lit("hiragana"), F.lit("cjk_merged"))
+    rest = F.array_sort(F.array_remove(found, "cjk_merged"))
+    name = F.when(F.size(rest) == 2, F.lit("katakana_hiragana")).otherwise(rest[0])
+    return F.when((F.size(found) > 1) & (F.size(F.array_except(found, kana)) == 0), name).otherwise(F.array_join(F.array_sort(found), "_"))
+
+
 def token_groups(vocab: DataFrame, table: DataFrame) -> DataFrame:
-    """(token, id, grp): sorted block names of the token's characters, without ignored blocks; tokens without any are left out."""
+    """(token, id, grp): the name of the blocks of the token's characters, without ignored blocks; tokens without any are left out."""
     chars = vocab.select("token", "id", F.explode(F.array_distinct(F.filter(F.split("token", ""), lambda x: x != ""))).alias("c")).withColumn("cp", F.ascii("c"))
-    named = block_of_code_points(chars, table).where(~F.col("block").isin(IGNORED) & (F.col("cp") != 0x2581))
-    return named.groupBy("token", "id").agg(F.array_join(F.array_sort(F.collect_set("block")), "_").alias("grp"))
+    named = block_of_code_points(chars, table).where(~F.lower("block").isin(IGNORED) & (F.col("cp") != 0x2581))
+    return named.groupBy("token", "id").agg(group_name(F.collect_set("block")).alias("grp"))
 
 
 def group_counts(groups: DataFrame) -> DataFrame:
     return groups.groupBy("grp").agg(F.count("*").alias("n"))
 
 
+def grouped_tokens(groups: DataFrame, table: DataFrame) -> DataFrame:
+    """(grp, tokens, ids, ranges, n): a group's tokens by id, and the ranges of the blocks that they use. Sizes are a vocabulary's."""
+    used = block_of_code_points(groups.select("grp", F.explode(F.split("token", "")).alias("c")).where("c <> ''").select("grp", F.ascii("c").alias("cp")).distinct(), table)
+    ranges = used.join(F.broadcast(table), "block").groupBy("grp").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
+    t = groups.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("id", "token"))).alias("t"), F.count("*").alias("n"))
+    return t.join(ranges, "grp", "left").select("grp", F.col("t.token").alias("tokens"), F.col("t.id").alias("ids"), F.coalesce("ranges", F.array().cast("array<struct<lo:int,hi:int>>")).alias("ranges"), "n")
+
+
+def reusable_total(counts: DataFrame, names: list[str]) -> int:
+    """The sum of the counts of named groups; one that isn't there counts 0."""
+    return counts.where(F.col("grp").isin(names)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if names else 0
+
+
 def cumulative(counts: DataFrame, threshold: int) -> DataFrame:
     """Groups by rising count, as long as the count before them is below the threshold. One row for each group."""
     w = Window.orderBy("n", "grp").rowsBetween(Window.unboundedPreceding, 0)

@@ -223,7 +223,7 @@ class ModelBuilder:
 def classified(spark: SparkSession, vocab: ByteVocabulary) -> DataFrame:
     """(token, id, grp) of the tokens that are text, by their visible form."""
     t = vocab.table(spark).where(F.col("id") >= vocab.first_byte).select(vocabulary.stripped(F.col("visible")).alias("token"), "id")
-    return classify.token_groups(t, classify.blocks(spark)).withColumn("grp", F.lower("grp"))
+    return classify.token_groups(t, classify.blocks(spark, merged=True))
 
 
 def reusable_ids(spark: SparkSession, groups: DataFrame, chosen: DataFrame, least: int) -> list[int]:
@@ -242,7 +242,8 @@ def build(spark: SparkSession, config: Config, old: ByteVocabulary) -> DualModel
         chosen = classify.cumulative(chosen, config.min_reusable_count).select("grp", "n")
     total = chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     log.info("%d tokens can be reused, %d are wanted", total, config.min_reusable_count)
-    ranges = sorted({(lo, hi) for b, lo, hi in S.BLOCKS if b in {g for r in chosen.collect() for g in r["grp"].split("_")}})
+    used = classify.grouped_tokens(groups, classify.blocks(spark, merged=True)).join(F.broadcast(chosen.select("grp")), "grp")
+    ranges = sorted({(r["lo"], r["hi"]) for row in used.select("ranges").collect() for r in row["ranges"]})
     docs = corpora.read_corpus(spark, config.training_data_dir)
     if ranges:
         pattern = f"[{S.char_class(ranges)}]"

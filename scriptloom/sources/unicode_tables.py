@@ -22,7 +22,7 @@ def code_point_range(text: Column) -> Column:
 def _fields(spark: SparkSession, path: str) -> DataFrame:
     """(value, fields) of the lines that aren't empty, without comments."""
     line = F.trim(F.regexp_replace("value", "#.*", ""))
-    return spark.read.text(path).select(line.alias("value")).where("value <> ''").select("value", F.transform(F.split("value", ";"), F.trim).alias("fields"))
+    return spark.read.text(path).select(line.alias("value")).where("value <> ''").select("value", F.transform(F.split("value", ";"), lambda x: F.trim(x)).alias("fields"))
 
 
 def read_blocks(spark: SparkSession, path: str, merged: bool = False) -> DataFrame:
