@@ -1,8 +1,9 @@
 """A deterministic sharded WARC writer, and a reader.
 
-1. Records are ordered by (url, page_id, html); nulls first. Shard bounds are quantiles by bytes of a sample of
-   keys, chosen by the keys' own hash, so the same table has the same bounds however it is partitioned. The
-   sample only places the bounds; every record is written.
+1. Records are ordered by (url, page_id, MD5 of html, html); nulls first. The keys alone are sorted by ranges, and the
+   bytes of the pages before each are summed up; a shard starts wherever that sum passes a multiple of SHARD_BYTES. So
+   the same table has the same shards however it is partitioned, and a hot host or url is cut like any other. The driver
+   gets the first key of each shard, MAX_SHARDS at most: larger tables have larger shards.
 2. Each shard is one partition, sorted. Its writer compresses each record as a gzip member of its own and rolls
    to the next file once a file has ROLL_BYTES of compressed records.
 3. Headers are made anew from the row: the HTTP block, Content-Length, SHA-1 digests of block and payload in
@@ -33,12 +34,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptloom.llm.common import drop_written, picked, shared, written
+
 SHARD_BYTES = 64 << 20
 ROLL_BYTES = 16 << 20
-SAMPLE_PER_SHARD = 256
+MAX_SHARDS = 1 << 17
 DATE = "2000-01-01T00:00:00Z"
 LEVEL = 6
 MANIFEST = "MANIFEST.json"
@@ -108,25 +111,34 @@ class _File:
 
 
 def _keys(pages: DataFrame) -> DataFrame:
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return picked(pages, page_id="long", url="string", html="string").withColumn("digest", F.md5(F.col("html").cast("binary")))
 
 
-def shard_bounds(pages: DataFrame, shard_bytes: int = SHARD_BYTES, per_shard: int = SAMPLE_PER_SHARD) -> list[tuple]:
-    """The first key (url, page_id) of each shard but the first, and so one fewer than shards at most."""
-    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 512
-    rows, total = pages.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    shards = -(-total // shard_bytes)
-    if shards < 2:
+def shard_bounds(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[tuple]:
+    """The first key (url, page_id, digest) of each shard but the first."""
+    size = (F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 512).alias("size")
+    keys = ["url", "page_id", "digest"]
+    k = pages.select(*keys, size)
+    total = k.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if total <= shard_bytes:
         return []
-    rate = min(1.0, per_shard * shards / rows)
-    picked = F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 20)) < F.lit(max(1, round(rate * (1 << 20))))
-    some = sorted((r["url"] or "", -1 if r["page_id"] is None else r["page_id"], r["size"]) for r in pages.where(picked).select("url", "page_id", size.alias("size")).collect())
-    weight, out, reached = sum(r[2] for r in some), [], 0
-    for url, page_id, n in some:
-        if reached >= weight * (len(out) + 1) / shards and (not out or out[-1] < (url, page_id)):
-            out.append((url, page_id))
-        reached += n
-    return out
+    shard_bytes = max(shard_bytes, -(-total // MAX_SHARDS))
+    placed = written(k.orderBy(*keys).withColumn("place", F.monotonically_increasing_id()), "warc-keys").withColumn("part", F.shiftright("place", 33))
+    begin, at = [], 0
+    for part, n in sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.sum("size").alias("n")).collect()):  # a row for each partition
+        begin.append((part, at))
+        at += n
+    starts = pages.sparkSession.createDataFrame(begin, "part long, begin long")
+    before = F.sum("size").over(Window.partitionBy("part").orderBy("place")) - F.col("size")
+    start = placed.withColumn("before", before).join(F.broadcast(starts), "part").withColumn("shard", F.floor((F.col("begin") + F.col("before")) / F.lit(shard_bytes)))
+    first = start.groupBy("shard").agg(F.min(F.struct(*keys)).alias("k")).select("shard", "k.*").where("shard > 0").collect()
+    found = sorted({_comparable(r["url"], r["page_id"], r["digest"]) for r in first})
+    drop_written(placed)
+    return found
+
+
+def _comparable(url: str | None, page_id: int | None, digest: str | None) -> tuple:
+    return url is not None, url or "", page_id is not None, page_id or 0, digest is not None, digest or ""
 
 
 def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
@@ -136,18 +148,16 @@ def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll_byte
     bounds = shard_bounds(pages, shard_bytes)
     fs, folder = _filesystem(path)
     fs.create_dir(folder, recursive=True)
-    # One bound for each 64 MB of pages: 1.6 million keys at 100 TB, sent once to each executor.
-    shared = spark.sparkContext.broadcast(bounds)
-
-    @F.pandas_udf("int")
-    def shard(url, page_id):
-        import pandas as pd
+    # MAX_SHARDS keys at most, some 20 MB; sent once to each executor.
+    sent = shared(spark, bounds)
 
-        ids = [-1 if pd.isna(i) else int(i) for i in page_id]
-        return pd.Series([bisect.bisect_right(shared.value, (u or "", i)) for u, i in zip(url, ids)], dtype="int32")
+    @F.arrow_udf("int")
+    def shard(url: pa.Array, page_id: pa.Array, digest: pa.Array) -> pa.Array:
+        at = sent()
+        return pa.array([bisect.bisect_right(at, _comparable(*k)) for k in zip(url.to_pylist(), page_id.to_pylist(), digest.to_pylist())], pa.int32())
 
-    order = ["shard", "url", "page_id", "html"]
-    placed = pages.withColumn("shard", shard("url", "page_id").cast("int")) if bounds else pages.withColumn("shard", F.lit(0))
+    order = ["shard", "url", "page_id", "digest", "html"]
+    placed = pages.withColumn("shard", shard("url", "page_id", "digest") if bounds else F.lit(0))
     placed = placed.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -106,3 +106,20 @@ def test_forward_substitution():
 def test_decoding_of_null_and_empty_lists(spark):
     df = spark.createDataFrame([(1, [])], "doc_id long, ids array<int>").unionByName(spark.createDataFrame([(2, None)], "doc_id long, ids array<int>"))
     assert {r.doc_id: r.decoded for r in sentencepiece_nbest.decode(df).collect()} == {1: "", 2: None}
+
+
+def test_warc_shards_of_wide_ids_and_nulls(spark, tmp_path):
+    from scriptloom.llm import warc
+
+    rows = [((1 << 62) + i if i % 5 else None, None if i % 7 == 0 else f"http://h/{i % 3}", None if i % 11 == 0 else "x" * (i % 90)) for i in range(400)]
+    pages = spark.createDataFrame([(*r, "s") for r in rows], "page_id long, url string, html string, shard string")
+    sets = []
+    for name, parts in (("a", 1), ("b", 7)):
+        index = warc.write(pages.repartition(parts), f"{tmp_path}/{name}", shard_bytes=30_000, roll_bytes=6_000)
+        assert index.count() == 400
+        sets.append({f: (tmp_path / name / f).read_bytes() for f in os.listdir(tmp_path / name) if f.endswith(".gz")})
+    assert sets[0] == sets[1] and len({f[:12] for f in sets[0]}) > 3
+    back = [(r.page_id, r.url, r.html) for r in warc.read(spark, f"{tmp_path}/a").collect()]
+    assert sorted(map(str, back)) == sorted(str((i, u, h or "")) for i, u, h in rows)
+    nulls = spark.createDataFrame([(None, None, None)] * 5, "page_id long, url string, html string")
+    assert warc.write(nulls, f"{tmp_path}/n", shard_bytes=1000).count() == 5
