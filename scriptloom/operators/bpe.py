@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import heapq
+import sys
+import types
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.functions.scripts import pretokens
 
-#: Distinct words that one task may train on; beyond that each merge is a job of its own.
-WORDS_IN_ONE_TASK = 20_000_000
+CACHED_WORDS = 1_000_000
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -76,16 +81,16 @@ def merges_of(words: Iterator[tuple[str, int]], count: int) -> list[tuple[str, s
 
 
 def train(words: DataFrame, merges: int) -> DataFrame:
-    """(rank, l, r, n): the table of merges, learnt in one task over the distinct words."""
-    n = words.count()
-    if n > WORDS_IN_ONE_TASK:
-        raise ValueError(f"{n} distinct words are more than one task may hold; raise the least count of words")
+    """(rank, l, r, n): the table of merges of characters, learnt in one task over the distinct words; null words don't count.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = merges_of(zip(pdf["word"], pdf["n"]), merges)
-        return pd.DataFrame([(i, *m) for i, m in enumerate(found)], columns=["rank", "l", "r", "n"])
+    vocabulary.train() is for vocabularies of bytes, and has no bound on the number of words.
+    """
 
-    return words.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda pdf: run(pdf), "rank int, l string, r string, n long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = merges_of(((w, n) for pdf in batches for w, n in zip(pdf["word"], pdf["n"])), merges)
+        yield pd.DataFrame([(i, *m) for i, m in enumerate(found)], columns=["rank", "l", "r", "n"])
+
+    return words.where("word is not null").select("word", "n").repartition(1).mapInPandas(run, "rank int, l string, r string, n long")
 
 
 def apply_merges(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -107,19 +112,44 @@ def apply_merges(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return s
 
 
+def _cached_sizes(merges: list[tuple[str, str]], words: DataFrame):
+    """A Column function: the number of symbols of the words of each list. Each worker keeps the words that it has met."""
+    sent, key = words.sparkSession.sparkContext.broadcast({tuple(m): i for i, m in enumerate(merges)}), uuid.uuid4().hex
+
+    @F.arrow_udf("long")
+    def sizes(lists: pa.Array) -> pa.Array:
+        state = sys.modules.setdefault("_bpe_worker_state", types.ModuleType("_bpe_worker_state")).__dict__
+        cache = state.setdefault(key, {})
+        if len(cache) > CACHED_WORDS:
+            cache.clear()
+        count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = pc.dictionary_encode(lists.flatten())
+        own = []
+        for w in words.dictionary.to_pylist():
+            n = cache.get(w)
+            if n is None:
+                n = cache[w] = len(apply_merges(w, sent.value))
+            own.append(n)
+        total = np.append(0, np.cumsum(np.array(own, np.int64)[words.indices.to_numpy(zero_copy_only=False)]))
+        to = np.append(0, np.cumsum(count))
+        return pa.array(total[to[1:]] - total[to[:-1]])
+
+    return sizes
+
+
 def encode_words(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     """(word, n, symbols): each distinct word once, in Arrow batches; merges are sent to each executor once."""
     ranks = words.sparkSession.sparkContext.broadcast({tuple(m): i for i, m in enumerate(merges)})
 
     @F.pandas_udf("array<string>")
     def encode(w: pd.Series) -> pd.Series:
-        return w.map(lambda x: apply_merges(x, ranks.value))
+        return w.map(lambda x: None if x is None else apply_merges(x, ranks.value))
 
     return words.withColumn("symbols", encode("word"))
 
 
 def encoded_sizes(docs: DataFrame, merges: list[tuple[str, str]], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, words, tokens) of each document: its words meet the encoded distinct words in one join."""
-    w = docs.select(key, F.explode(pretokens(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("times"))
-    e = encode_words(w.groupBy("word").agg(F.sum("times").alias("n")), merges).select("word", F.size("symbols").alias("k"))
-    return w.join(e, "word").groupBy(key).agg(F.sum("times").alias("words"), F.sum(F.col("times") * F.col("k")).alias("tokens"))
+    """(key, words, tokens), of the documents of each key that have words. Words are encoded where they stand; only sums are shuffled."""
+    sizes = _cached_sizes(merges, docs)
+    t = docs.select(key, pretokens(F.col(text)).alias("p")).where("size(p) > 0").select(key, F.size("p").alias("words"), sizes("p").alias("tokens"))
+    return t.groupBy(key).agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"))
