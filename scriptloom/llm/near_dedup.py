@@ -3,16 +3,19 @@
 Documents are sets of hashed runs of SHINGLE words; two are near copies if the Jaccard similarity of
 their sets is THRESHOLD at least. Groups are the connected components of that relation.
 
-1. One pass over the texts gives each document's set identity and BANDS hashes of ROWS minhashes each.
+1. One pass over the texts gives each document's set identity, its signature and BANDS hashes of ROWS minhashes each.
    Documents with the same set are one node from here on.
-2. Nodes that share a band hash are candidates. Linking each bucket's nodes to its least one, and taking
-   connected components, gathers all candidates in clusters (a star for each bucket: the number of edges
-   is that of bucket entries, however large a bucket is).
-3. Texts of cluster nodes alone are shuffled, once each. In its cluster a node is compared with the nodes
-   that share a band with it and aren't yet linked to it: signatures by batches of BATCH hashes, given up as
-   soon as the posterior probability of a similarity of THRESHOLD or more (uniform prior) is under MISS;
-   the survivors' sets are compared exactly. A pair that other verified pairs link already needs no
-   comparison, as groups would be the same.
+2. Nodes that share a band hash, a bucket, are candidates. Each bucket's least node, its leader, is compared with the
+   bucket's others: signatures by batches of BATCH hashes, given up as soon as the posterior probability of a similarity
+   of THRESHOLD or more (uniform prior) is under MISS; the survivors' sets are compared exactly. Pairs are rows, one for
+   each node and leader; a leader's pairs are spread by a salt over tasks of LEADER_ROWS rows.
+3. Verified pairs are edges; components of edges are groups so far. A leader has met its whole bucket and leaves it. A
+   bucket whose nodes are all in one group has nothing left to find. In the others the next leaders, four times as many
+   each round and of the rarest groups first, meet the nodes of other groups that they haven't met, until no bucket is
+   left. So a bucket of any number of copies of one text is done after one round, no task holds more than one leader's
+   set and a batch of others, and no pair of candidates of different groups stays uncompared.
+
+A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.92 at 0.5, 0.997 at 0.6, 0.99999 at 0.7.
 
 Defined results: texts without a word, null or empty ones, are in no group. A text of fewer than SHINGLE
 words has one run, all of them. Repeated rows are in one group. A group's name is its least doc_id; with
@@ -41,11 +44,13 @@ ROWS = 4
 BANDS = 40
 BATCH = 16
 MISS = 0.001
+LEADER_ROWS = 2048
+MORE_LEADERS = 4
 _HASHES = ROWS * BANDS
 _rng = np.random.Generator(np.random.PCG64(42))
 _MULTIPLY = _rng.integers(1, 1 << 63, _HASHES, dtype=np.uint64) * U64(2) + U64(1)
 _ADD = _rng.integers(1, 1 << 63, _HASHES, dtype=np.uint64)
-_SET_SCHEMA = "doc_id long, text_hash long, set_id long, set_check long, bands array<long>"
+_SET_SCHEMA = "doc_id long, text_hash long, set_id long, set_check long, bands array<long>, signature binary"
 
 
 def sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,54 +119,6 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def link(signature: np.ndarray, bands: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """The least linked node of each node of a cluster."""
-    n = len(sets)
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    failed: set[tuple[int, int]] = set()
-
-    def linked(x: int, ys: list[int]) -> bool:
-        ys = [y for y in ys if (y, x) not in failed]
-        if not ys:
-            return False
-        good = set(may_be_similar(signature[x], signature[ys]).tolist())
-        for j, y in enumerate(ys):
-            if j in good and jaccard(sets[x], sets[y]) >= THRESHOLD:
-                return True
-            failed.add((y, x))
-        return False
-
-    for b in range(bands.shape[1]):
-        order = np.argsort(bands[:, b], kind="stable")
-        key = bands[order, b]
-        cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-        for bucket in np.split(order, cut):
-            if len(bucket) < 2:
-                continue
-            groups: dict[int, list[int]] = {}
-            for x in bucket.tolist():
-                own = find(x)
-                for root in list(groups):
-                    now = find(root)
-                    if now == own or not linked(x, groups[root]):
-                        continue
-                    parent[max(own, now)] = min(own, now)
-                    own = find(x)
-                merged: dict[int, list[int]] = {}
-                for root, members in groups.items():
-                    merged.setdefault(find(root), []).extend(members)
-                merged.setdefault(own, []).append(x)
-                groups = merged
-    return np.array([find(x) for x in range(n)])
-
-
 def document_sets(docs: DataFrame) -> DataFrame:
     """One row for each document with a word: keys, the identity of its set, and band hashes."""
 
@@ -175,10 +132,11 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 ids = np.zeros((len(full), 2), np.int64)
                 for j, t in enumerate(full.tolist()):
                     ids[j] = _identity(np.unique(h[to[t] : to[t + 1]]))
-                bands = band_hashes(signatures(h, to)[full]).view(np.int64)
+                signature = signatures(h, to)[full]
+                bands = band_hashes(signature).view(np.int64)
                 rows = part.take(pa.array(full))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(ids[:, 0]), pa.array(ids[:, 1]), lists], ["doc_id", "text_hash", "set_id", "set_check", "bands"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(ids[:, 0]), pa.array(ids[:, 1]), lists, _binary(signature)], ["doc_id", "text_hash", "set_id", "set_check", "bands", "signature"])
 
     return _keyed(docs).mapInArrow(run, _SET_SCHEMA)
 
@@ -192,72 +150,97 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
-def _verified(texts: DataFrame) -> DataFrame:
-    """(set_id, set_check, linked): the least set linked to each, of a table (root, set_id, set_check, text)."""
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of a table of numbers."""
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * rows.strides[0]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def similar_to_head(head: tuple[np.ndarray, np.ndarray], signature: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """Whether each text's set is similar to the head's (signature, set): batches of hashes first, then the sets of what is left."""
+    out = np.zeros(len(texts), bool)
+    left = may_be_similar(head[0], signature)
+    if len(left):
+        h, to = sets_of(texts.take(pa.array(left)))
+        out[left] = [jaccard(head[1], np.unique(h[a:b])) >= THRESHOLD for a, b in zip(to[:-1].tolist(), to[1:].tolist())]
+    return out
 
-    def clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        kept: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            roots = batch.column("root").to_numpy()
-            cut = np.flatnonzero(roots[1:] != roots[:-1]) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(roots)]):
-                part = batch.slice(a, b - a)
-                if kept and kept[0].column("root")[0] != part.column("root")[0]:
-                    yield pa.Table.from_batches(kept)
-                    kept = []
-                kept.append(part)
-        if kept:
-            yield pa.Table.from_batches(kept)
+
+def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar. nodes: (id, signature, text)."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_ROWS).cast("int").alias("salts"))
+    head = salts.select(F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(nodes, "id")
+    head = head.select(F.col("id").alias("a"), "salt", F.lit(0).alias("role"), "id", "signature", "text")
+    other = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id")).join(nodes, "id")
+    rows = head.unionByName(other).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cluster in clusters(batches):
-            found, sets, signature = {}, [], []
-            row = 0
-            for batch in cluster.combine_chunks().to_batches():
-                ids, checks = batch.column("set_id").to_numpy(), batch.column("set_check").to_numpy()
-                for part in chunks(batch, size=1 << 18):
-                    h, to = sets_of(part.column("text"))
-                    sig = signatures(h, to)
-                    for j in range(part.num_rows):
-                        key = int(ids[row + j]), int(checks[row + j])
-                        own = np.unique(h[to[j] : to[j + 1]])
-                        if key not in found and len(own) and _identity(own) == key:
-                            found[key] = len(sets)
-                            sets.append(own)
-                            signature.append(sig[j])
-                    row += part.num_rows
-            if len(sets) < 2:
-                continue
-            signature = np.array(signature)
-            root = link(signature, band_hashes(signature), sets)
-            keys = np.array(list(found), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(keys[root, 0].copy())], ["set_id", "set_check", "linked"])
-
-    ordered = texts.repartition("root").sortWithinPartitions("root", "set_id", "set_check")
-    return ordered.mapInArrow(run, "set_id long, set_check long, linked long")
+        head = None
+        for batch in batches:
+            for part in chunks(batch, size=1 << 19):
+                first = part.column("role").to_numpy() == 0
+                a, b = part.column("a").to_numpy(), part.column("id").to_numpy()
+                binary = part.column("signature")
+                signature = np.frombuffer(b"".join(binary.to_pylist()), np.uint32).reshape(part.num_rows, _HASHES)
+                cut = np.unique(np.append(np.flatnonzero(first), 0)).tolist()
+                keep = np.zeros(part.num_rows, bool)
+                for i, j in zip(cut, [*cut[1:], part.num_rows]):
+                    if first[i]:
+                        h, to = sets_of(part.column("text").slice(i, 1))
+                        head = signature[i].copy(), np.unique(h)
+                        i += 1
+                    if i < j:
+                        keep[i:j] = similar_to_head(head, signature[i:j], part.column("text").slice(i, j - i))
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    return rows.select("a", "role", "id", "signature", "text").mapInArrow(run, "a long, b long")
+
+
+def _edges(node: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """(a, b) of similar nodes, enough to connect each group; None if there is no candidate."""
+    entry = node.select(F.explode("bands").alias("band"), F.col("set_id").alias("id"))
+    bucket = written(entry.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").select("band", "lead"), "buckets")
+    _, maybe = split_by_keys(entry, "band", bucket)
+    open_ = written(maybe.join(bucket, "band").select("band", "id", "lead"), "entries")
+    candidate = open_.select("id").distinct()
+    member = written(candidate.join(node.select(F.col("set_id").alias("id"), "signature", "d.doc_id", "d.text_hash"), "id"), "candidates")
+    _, texts = split_by_keys(_keyed(docs), "text_hash", member.select("text_hash").distinct())
+    texts = texts.withColumnRenamed("doc_id", "doc").withColumnRenamed("text_hash", "hash")
+    nodes = member.join(texts, (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("doc")))
+    nodes = written(nodes.groupBy("id").agg(F.first("signature").alias("signature"), F.first("text").alias("text")), "candidate-texts")
+    pairs = written(open_.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    open_ = open_.where("id <> lead").select("band", "id")
+    met, edges, leaders = pairs, None, MORE_LEADERS
+    while True:
+        found = written(compared(pairs, nodes), "edges")
+        edges = found if edges is None else edges.unionByName(found)
+        group = written(components(edges), "node-groups")
+        labelled = open_.join(group, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+        several = labelled.groupBy("band").agg((F.min("root") != F.max("root")).alias("x")).where("x").select("band")
+        open_ = written(labelled.join(several, "band"), "entries")
+        sizes = open_.groupBy("band", "root").agg(F.count("*").alias("n"))
+        if open_.isEmpty():
+            return edges
+        rare = Window.partitionBy("band").orderBy("n", "root", "id")
+        lead = written(open_.join(sizes, ["band", "root"]).withColumn("k", F.row_number().over(rare)).where(F.col("k") <= leaders).select("band", F.col("id").alias("a"), F.col("root").alias("own")), "leaders")
+        new = lead.join(open_.withColumnRenamed("id", "b"), "band").where("own <> root").select("a", "b").distinct()
+        turned = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Of two leaders of one bucket each would meet the other.
+        pairs = written(new.join(turned, ["a", "b"], "left_anti").select(F.least("a", "b").alias("l"), "a", "b", F.greatest("a", "b").alias("g")).groupBy("l", "g").agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("l"), F.col("g")).otherwise(F.col("l")).alias("b")), "pairs")
+        met = met.unionByName(pairs)
+        open_ = open_.join(lead.select("band", F.col("a").alias("id")), ["band", "id"], "left_anti").select("band", "id")
+        leaders *= MORE_LEADERS
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, group_id, group_size) of every row that is in a group of two rows or more."""
     sets = written(document_sets(docs), "document-sets")
-    node = sets.groupBy("set_id", "set_check").agg(F.min_by("bands", F.struct("doc_id", "text_hash")).alias("bands"), F.min(F.struct("doc_id", "text_hash")).alias("d"))
-    node = written(node, "nodes")
-    entry = node.select(F.explode("bands").alias("band"), F.col("set_id").alias("a"))
-    edges = entry.withColumn("b", F.min("a").over(Window.partitionBy("band"))).where("a <> b").select("a", "b")
-    cluster = components(edges)
-    member = cluster.join(node.select(F.col("set_id").alias("id"), "set_check", "d.doc_id", "d.text_hash"), "id")
-    member = written(member, "cluster-nodes")
-    _, maybe = split_by_keys(_keyed(docs), "text_hash", member.select("text_hash"))
-    m = member.select("root", F.col("id").alias("set_id"), "set_check", F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"))
-    texts = maybe.join(m, (maybe["text_hash"] == m["__t"]) & maybe["doc_id"].eqNullSafe(m["__d"])).select("root", "set_id", "set_check", "text")
-    linked = written(_verified(texts), "linked-sets")
-    named = sets.select("doc_id", "text_hash", "set_id", "set_check").join(linked, ["set_id", "set_check"], "left")
-    own = Window.partitionBy("__group")
-    named = named.withColumn("__group", F.coalesce("linked", "set_id"))
-    named = named.withColumn("group_id", F.min("doc_id").over(own)).withColumn("group_size", F.count("*").over(own))
-    return named.where("group_size > 1").select("doc_id", "text_hash", "group_id", "group_size")
+    node = sets.groupBy("set_id", "set_check").agg(F.min_by(F.struct("bands", "signature"), F.struct("doc_id", "text_hash")).alias("x"), F.min(F.struct("doc_id", "text_hash")).alias("d"))
+    node = written(node.select("set_id", "set_check", "x.bands", "x.signature", "d"), "nodes")
+    group = components(_edges(node, docs)).select(F.col("id").alias("set_id"), "root")
+    named = sets.select("doc_id", "text_hash", "set_id").join(group, "set_id", "left").withColumn("of", F.coalesce("root", "set_id"))
+    size = named.groupBy("of").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    return named.join(size, "of").select("doc_id", "text_hash", "group_id", "group_size")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -123,3 +123,44 @@ def test_warc_shards_of_wide_ids_and_nulls(spark, tmp_path):
     assert sorted(map(str, back)) == sorted(str((i, u, h or "")) for i, u, h in rows)
     nulls = spark.createDataFrame([(None, None, None)] * 5, "page_id long, url string, html string")
     assert warc.write(nulls, f"{tmp_path}/n", shard_bytes=1000).count() == 5
+
+
+def near_plain(rows):
+    """Groups by comparing all pairs of documents that share a band."""
+    import itertools
+
+    import pyarrow as pa
+
+    h, to = near_dedup.sets_of(pa.array([t for _, t in rows]))
+    sets = [np.unique(h[a:b]) for a, b in zip(to[:-1], to[1:])]
+    bands = near_dedup.band_hashes(near_dedup.signatures(h, to))
+    root = list(range(len(rows)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if (bands[i] == bands[j]).any() and near_dedup.jaccard(sets[i], sets[j]) >= near_dedup.THRESHOLD:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    size = [sum(find(k) == find(i) for k in range(len(rows))) for i in range(len(rows))]
+    return {(rows[i][0], rows[find(i)][0], size[i]) for i in range(len(rows)) if size[i] > 1}
+
+
+def test_near_copies_of_one_family_and_of_two_that_share_bands(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(near_dedup, "LEADER_ROWS", 8)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(3000)}"
+    base = [word() for _ in range(90)]
+    rows = []
+    for family in range(3):  # families that agree in some two thirds of their runs of words
+        own = base[: 60 + 5 * family] + [word() for _ in range(30)]
+        for _ in range(40):
+            rows.append((len(rows), " ".join(word() if rng.random() < 0.02 else w for w in own)))
+    for _ in range(30):
+        rows.append((len(rows), " ".join(word() for _ in range(40))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {tuple(r) for r in near_dedup.near_duplicates(docs).collect()}
+    want = near_plain(rows)
+    assert got == want and len({g for _, g, _ in want}) >= 2
