@@ -10,8 +10,8 @@ their sets is THRESHOLD at least. Groups are the connected components of that re
    of THRESHOLD or more (uniform prior) is under MISS; the survivors' sets are compared exactly. Pairs are rows, one for
    each node and leader; a leader's pairs are spread by a salt over tasks of LEADER_ROWS rows.
 3. Verified pairs are edges; components of edges are groups so far. A leader has met its whole bucket and leaves it. A
-   bucket whose nodes are all in one group has nothing left to find. In the others the next leaders, four times as many
-   each round and of the rarest groups first, meet the nodes of other groups that they haven't met, until no bucket is
+   bucket whose nodes are all in one group has nothing left to find. In the others the next leaders, MORE_LEADERS times as
+   many each round and of the rarest groups first, meet the nodes of other groups that they haven't met, until no bucket is
    left. So a bucket of any number of copies of one text is done after one round, no task holds more than one leader's
    set and a batch of others, and no pair of candidates of different groups stays uncompared.
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptloom.llm.binary_fuse import split_by_keys
-from scriptloom.llm.common import id_and_text, packed, unpacked, written
+from scriptloom.llm.common import drop_written, id_and_text, packed, unpacked, written
 from scriptloom.llm.components import components
 from scriptloom.llm.textbatch import U64, chunks, mix, shingles, words
 
@@ -45,12 +45,12 @@ BANDS = 40
 BATCH = 16
 MISS = 0.001
 LEADER_ROWS = 2048
-MORE_LEADERS = 4
+MORE_LEADERS = 16
 _HASHES = ROWS * BANDS
 _rng = np.random.Generator(np.random.PCG64(42))
 _MULTIPLY = _rng.integers(1, 1 << 63, _HASHES, dtype=np.uint64) * U64(2) + U64(1)
 _ADD = _rng.integers(1, 1 << 63, _HASHES, dtype=np.uint64)
-_SET_SCHEMA = "doc_id long, text_hash long, set_id long, set_check long, bands array<long>, signature binary"
+_SET_SCHEMA = "doc_id long, text_hash long, set_id long, set_check long, bands array<long>"
 
 
 def sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,11 +132,10 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 ids = np.zeros((len(full), 2), np.int64)
                 for j, t in enumerate(full.tolist()):
                     ids[j] = _identity(np.unique(h[to[t] : to[t + 1]]))
-                signature = signatures(h, to)[full]
-                bands = band_hashes(signature).view(np.int64)
+                bands = band_hashes(signatures(h, to)[full]).view(np.int64)
                 rows = part.take(pa.array(full))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(ids[:, 0]), pa.array(ids[:, 1]), lists, _binary(signature)], ["doc_id", "text_hash", "set_id", "set_check", "bands", "signature"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(ids[:, 0]), pa.array(ids[:, 1]), lists], ["doc_id", "text_hash", "set_id", "set_check", "bands"])
 
     return _keyed(docs).mapInArrow(run, _SET_SCHEMA)
 
@@ -165,6 +164,17 @@ def similar_to_head(head: tuple[np.ndarray, np.ndarray], signature: np.ndarray,
     return out
 
 
+def _signed(texts: DataFrame) -> DataFrame:
+    """(id, signature, text) of (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, size=1 << 18):
+                yield pa.RecordBatch.from_arrays([part.column("id"), _binary(signatures(*sets_of(part.column("text")))), part.column("text")], ["id", "signature", "text"])
+
+    return texts.mapInArrow(run, "id long, signature binary, text string")
+
+
 def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar. nodes: (id, signature, text)."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_ROWS).cast("int").alias("salts"))
@@ -196,18 +206,19 @@ def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("a", "role", "id", "signature", "text").mapInArrow(run, "a long, b long")
 
 
-def _edges(node: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """(a, b) of similar nodes, enough to connect each group; None if there is no candidate."""
+def _edges(node: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) of similar nodes, enough to connect each group. node is a written table, deleted once its candidates are known."""
     entry = node.select(F.explode("bands").alias("band"), F.col("set_id").alias("id"))
     bucket = written(entry.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").select("band", "lead"), "buckets")
     _, maybe = split_by_keys(entry, "band", bucket)
     open_ = written(maybe.join(bucket, "band").select("band", "id", "lead"), "entries")
     candidate = open_.select("id").distinct()
-    member = written(candidate.join(node.select(F.col("set_id").alias("id"), "signature", "d.doc_id", "d.text_hash"), "id"), "candidates")
+    member = written(candidate.join(node.select(F.col("set_id").alias("id"), "d.doc_id", "d.text_hash"), "id"), "candidates")
+    drop_written(node)
     _, texts = split_by_keys(_keyed(docs), "text_hash", member.select("text_hash").distinct())
     texts = texts.withColumnRenamed("doc_id", "doc").withColumnRenamed("text_hash", "hash")
     nodes = member.join(texts, (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("doc")))
-    nodes = written(nodes.groupBy("id").agg(F.first("signature").alias("signature"), F.first("text").alias("text")), "candidate-texts")
+    nodes = written(_signed(nodes.select("id", "text").dropDuplicates(["id"])), "candidate-texts")
     pairs = written(open_.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     open_ = open_.where("id <> lead").select("band", "id")
     met, edges, leaders = pairs, None, MORE_LEADERS
@@ -235,8 +246,8 @@ def _edges(node: DataFrame, docs: DataFrame) -> DataFrame | None:
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, group_id, group_size) of every row that is in a group of two rows or more."""
     sets = written(document_sets(docs), "document-sets")
-    node = sets.groupBy("set_id", "set_check").agg(F.min_by(F.struct("bands", "signature"), F.struct("doc_id", "text_hash")).alias("x"), F.min(F.struct("doc_id", "text_hash")).alias("d"))
-    node = written(node.select("set_id", "set_check", "x.bands", "x.signature", "d"), "nodes")
+    node = sets.groupBy("set_id", "set_check").agg(F.min_by("bands", F.struct("doc_id", "text_hash")).alias("bands"), F.min(F.struct("doc_id", "text_hash")).alias("d"))
+    node = written(node, "nodes")
     group = components(_edges(node, docs)).select(F.col("id").alias("set_id"), "root")
     named = sets.select("doc_id", "text_hash", "set_id").join(group, "set_id", "left").withColumn("of", F.coalesce("root", "set_id"))
     size = named.groupBy("of").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size")).where("group_size > 1")
