@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +62,22 @@ def worker_state() -> dict:
     return sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state")).__dict__
 
 
+def freed() -> None:
+    """Gives memory that this process doesn't use any more back to the system: workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def ending_freed(batches: Iterable) -> Iterator:
+    """What is given; at its end, unused memory goes back."""
+    yield from batches
+    freed()
+
+
 def shared(spark: SparkSession, value: object) -> Callable[[], object]:
     """A function that gives the value on the executors. It is broadcast with its classes' code, so that they need no package of ours."""
     sent, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import id_and_text, picked, shared
+from scriptloom.llm.common import ending_freed, id_and_text, picked, shared
 from scriptloom.llm.textbatch import U64, chunks, shingles, words
 
 SHINGLE = 3
@@ -217,7 +217,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = shared(spark, index)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in ending_freed(batches):
                 for part in chunks(batch, size=1 << 19):
                     rows, out = [], []
                     for row, found in items().matches(part.column("text")):
@@ -240,7 +240,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = shared(docs.sparkSession, index)
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in ending_freed(batches):
                 for part in chunks(batch, size=1 << 19):
                     keep = np.ones(part.num_rows, bool)
                     keep[[row for row, _ in items().matches(part.column("text"))]] = False

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptloom.llm.binary_fuse import split_by_keys
-from scriptloom.llm.common import drop_written, id_and_text, packed, unpacked, written
+from scriptloom.llm.common import drop_written, ending_freed, id_and_text, packed, unpacked, written
 from scriptloom.llm.components import components
 from scriptloom.llm.textbatch import U64, chunks, mix, shingles, words
 
@@ -123,7 +123,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
     """One row for each document with a word: keys, the identity of its set, and band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ending_freed(batches):
             for part in chunks(batch, size=1 << 18):
                 h, to = sets_of(part.column("text"))
                 full = np.flatnonzero(np.diff(to))
@@ -185,7 +185,7 @@ def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None
-        for batch in batches:
+        for batch in ending_freed(batches):
             for part in chunks(batch, size=1 << 19):
                 first = part.column("role").to_numpy() == 0
                 a, b = part.column("a").to_numpy(), part.column("id").to_numpy()

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import id_and_text, worker_state
+from scriptloom.llm.common import ending_freed, id_and_text, worker_state
 from scriptloom.llm.textbatch import U64, byte_buffer, chunks, span_hashes
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -39,8 +39,8 @@ N_BEST = 3
 SPACE = "▁"
 #: Units of more bytes go one by one: a level of the array program would hold too few. The result is the same.
 LONGEST_AT_ONCE = 64
-BLOCK_BYTES = 1 << 18
-CACHED_UNITS = 1_000_000
+BLOCK_BYTES = 1 << 17
+CACHED_UNITS = 300_000
 SCHEMA = "doc_id long, n_tokens int, round_trip boolean, segmentations array<struct<score:double,ids:array<int>>>"
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -482,8 +482,8 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, n: int = N_BEST) -> Da
             model = PieceModel(blob.value)
             state["pieces", key] = (model, UnitCache(model))
         model, cache = state["pieces", key]
-        for batch in batches:
-            for part in chunks(batch, size=1 << 20):
+        for batch in ending_freed(batches):
+            for part in chunks(batch, size=1 << 19):
                 texts = part.column("text")
                 found = encode_chunk(model, cache, texts, n)
                 null = np.asarray(texts.is_null())

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptloom.llm.binary_fuse import screening, split_by_keys
-from scriptloom.llm.common import id_and_text, packed, unpacked, written
+from scriptloom.llm.common import ending_freed, id_and_text, packed, unpacked, written
 from scriptloom.llm.textbatch import U64, Words, chunks, mix, words
 
 MIN_WORDS = 50
@@ -226,7 +226,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _anchor_hashes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ending_freed(batches):
             for part in chunks(batch, size=_CHUNK):
                 w = words(part.column("text"))
                 _, g = anchors(w.hashes(), w.first)
@@ -261,7 +261,7 @@ def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(arrays, ["anchor", "doc_id", "text_hash", "place", "low", "high", "around"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ending_freed(batches):
             for part in chunks(batch, size=_CHUNK):
                 if (out := rows(words(part.column("text")), part)) is not None:
                     yield out
@@ -289,7 +289,7 @@ def _factor_spans(contexts: DataFrame) -> DataFrame:
             yield pa.Table.from_batches(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_parts(batches):
+        for table in ending_freed(whole_parts(batches)):
             t = table.combine_chunks()
             bucket = t["anchor"].to_numpy()
             doc, text, place = t["doc_id"].fill_null(0).to_numpy(), t["text_hash"].to_numpy(), t["place"].to_numpy().astype(np.int64)

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import id_and_text, picked, shared
+from scriptloom.llm.common import ending_freed, freed, id_and_text, picked, shared
 from scriptloom.llm.textbatch import U64, Words, chunks, mix, words
 
 BITS = 22
@@ -69,7 +69,7 @@ def _buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _sparse(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     row = 0
-    for part in chunks(batch):
+    for part in chunks(batch, size=1 << 18):
         w = words(part.column("text"))
         owner, bucket = _buckets(w)
         yield row, w.text_of_word()[owner] if len(owner) else owner, bucket, owner, w.count
@@ -166,7 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     # At most 2 * max_per_class pairs of 9 bytes: small by the bound, so they can be sent to all executors.
     rows = own.join(F.broadcast(some), "doc_id").toArrow().combine_chunks()
     rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("text", "ascending")]))
-    return fit_texts(rows["text"].to_pylist(), rows["t"].to_numpy(), counts[True] / (counts[True] + counts[False]))
+    model = fit_texts(rows["text"].to_pylist(), rows["t"].to_numpy(), counts[True] / (counts[True] + counts[False]))
+    del rows
+    freed()
+    return model
 
 
 def score_batch(batch: pa.RecordBatch, model: OrdinalModel, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +197,7 @@ def score(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = fitted()
         place = _place(model)
-        for batch in batches:
+        for batch in ending_freed(batches):
             p, _ = score_batch(batch, model, place)
             each = -np.diff(np.concatenate((np.ones((len(p), 1)), p, np.zeros((len(p), 1))), axis=1), axis=1)
             out = [batch.column("doc_id"), p[:, 0], p.sum(axis=1), each.argmax(axis=1).astype(np.int32), p[:, 0] >= reject_at]
@@ -210,7 +213,7 @@ def keep_clean(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_A
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = fitted()
         place = _place(model)
-        for batch in batches:
+        for batch in ending_freed(batches):
             p, _ = score_batch(batch, model, place)
             yield batch.filter(pa.array(p[:, 0] < reject_at))
 
