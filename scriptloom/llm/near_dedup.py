@@ -5,10 +5,12 @@ their sets is THRESHOLD at least. Groups are the connected components of that re
 
 1. One pass over the texts gives each document's set identity, its signature and BANDS hashes of ROWS minhashes each.
    Documents with the same set are one node from here on.
-2. Nodes that share a band hash, a bucket, are candidates. Each bucket's least node, its leader, is compared with the
-   bucket's others: signatures by batches of BATCH hashes, given up as soon as the posterior probability of a similarity
-   of THRESHOLD or more (uniform prior) is under MISS; the survivors' sets are compared exactly. Pairs are rows, one for
-   each node and leader; a leader's pairs are spread by a salt over tasks of LEADER_ROWS rows.
+2. Nodes that share a band hash, a bucket, are candidates. Band hashes that occur twice are found by 4 bytes of each, sorted
+   by parts; entries that pass are grouped by the whole hash. Each bucket's least node, its leader, is compared with the
+   bucket's others: signatures, a byte of each minhash, by batches of BATCH, given up as soon as the posterior probability
+   of a similarity of THRESHOLD or more (uniform prior) is under MISS; texts are sent for the survivors alone, whose sets
+   are compared exactly. (Bytes that agree by chance only let more pairs survive.) Pairs are rows, one for each node and
+   leader; a leader's pairs are spread by a salt over tasks of LEADER_ROWS rows.
 3. Verified pairs are edges; components of edges are groups so far. A leader has met its whole bucket and leaves it. A
    bucket whose nodes are all in one group has nothing left to find. In the others the next leaders, MORE_LEADERS times as
    many each round and of the rarest groups first, meet the nodes of other groups that they haven't met, until no bucket is
@@ -26,11 +28,11 @@ of that document count as copies too), all columns, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptloom.llm.binary_fuse import split_by_keys
@@ -46,6 +48,7 @@ BATCH = 16
 MISS = 0.001
 LEADER_ROWS = 2048
 MORE_LEADERS = 16
+PART_BANDS = 1 << 20
 _HASHES = ROWS * BANDS
 _rng = np.random.Generator(np.random.PCG64(42))
 _MULTIPLY = _rng.integers(1, 1 << 63, _HASHES, dtype=np.uint64) * U64(2) + U64(1)
@@ -154,71 +157,151 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * rows.strides[0]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-def similar_to_head(head: tuple[np.ndarray, np.ndarray], signature: np.ndarray, texts: pa.Array) -> np.ndarray:
-    """Whether each text's set is similar to the head's (signature, set): batches of hashes first, then the sets of what is left."""
-    out = np.zeros(len(texts), bool)
-    left = may_be_similar(head[0], signature)
-    if len(left):
-        h, to = sets_of(texts.take(pa.array(left)))
-        out[left] = [jaccard(head[1], np.unique(h[a:b])) >= THRESHOLD for a, b in zip(to[:-1].tolist(), to[1:].tolist())]
-    return out
-
-
 def _signed(texts: DataFrame) -> DataFrame:
-    """(id, signature, text) of (id, text)."""
+    """(id, signature, text) of (id, text); a signature has the low byte of each minhash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ending_freed(batches):
             for part in chunks(batch, size=1 << 18):
-                yield pa.RecordBatch.from_arrays([part.column("id"), _binary(signatures(*sets_of(part.column("text")))), part.column("text")], ["id", "signature", "text"])
+                low = signatures(*sets_of(part.column("text"))).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column("id"), _binary(low), part.column("text")], ["id", "signature", "text"])
 
     return texts.mapInArrow(run, "id long, signature binary, text string")
 
 
-def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar. nodes: (id, signature, text)."""
+def _signatures(values: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(values.to_pylist()), np.uint8).reshape(len(values), _HASHES)
+
+
+def _head_signature(value: pa.Array) -> np.ndarray:
+    return _signatures(value)[0]
+
+
+def _passing(head: np.ndarray, values: pa.Array) -> np.ndarray:
+    out = np.zeros(len(values), bool)
+    out[may_be_similar(head, _signatures(values))] = True
+    return out
+
+
+def _head_set(value: pa.Array) -> np.ndarray:
+    return np.unique(sets_of(value)[0])
+
+
+def _similar(head: np.ndarray, values: pa.Array) -> np.ndarray:
+    h, to = sets_of(values)
+    return np.array([jaccard(head, np.unique(h[a:b])) >= THRESHOLD for a, b in zip(to[:-1].tolist(), to[1:].tolist())], bool)
+
+
+def _meeting(pairs: DataFrame, values: DataFrame, head_of: Callable[[pa.Array], np.ndarray], test: Callable[[np.ndarray, pa.Array], np.ndarray]) -> DataFrame:
+    """The pairs (a, b) that pass the test of a's head and b's value. values: (id, value)."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_ROWS).cast("int").alias("salts"))
-    head = salts.select(F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(nodes, "id")
-    head = head.select(F.col("id").alias("a"), "salt", F.lit(0).alias("role"), "id", "signature", "text")
-    other = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id")).join(nodes, "id")
-    rows = head.unionByName(other).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    head = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
+    other = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
+    rows = head.unionByName(other).join(values, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None
         for batch in ending_freed(batches):
-            for part in chunks(batch, size=1 << 19):
+            for part in chunks(batch, column="value", size=1 << 19):
                 first = part.column("role").to_numpy() == 0
                 a, b = part.column("a").to_numpy(), part.column("id").to_numpy()
-                binary = part.column("signature")
-                signature = np.frombuffer(b"".join(binary.to_pylist()), np.uint32).reshape(part.num_rows, _HASHES)
                 cut = np.unique(np.append(np.flatnonzero(first), 0)).tolist()
                 keep = np.zeros(part.num_rows, bool)
                 for i, j in zip(cut, [*cut[1:], part.num_rows]):
                     if first[i]:
-                        h, to = sets_of(part.column("text").slice(i, 1))
-                        head = signature[i].copy(), np.unique(h)
+                        head = head_of(part.column("value").slice(i, 1))
                         i += 1
                     if i < j:
-                        keep[i:j] = similar_to_head(head, signature[i:j], part.column("text").slice(i, j - i))
+                        keep[i:j] = test(head, part.column("value").slice(i, j - i))
                 if keep.any():
                     yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    return rows.select("a", "role", "id", "signature", "text").mapInArrow(run, "a long, b long")
+    return rows.select("a", "role", "id", "value").mapInArrow(run, "a long, b long")
+
+
+def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar. nodes: (id, signature, text). Texts are sent for pairs whose signatures pass alone."""
+    maybe = written(_meeting(pairs, nodes.select("id", F.col("signature").alias("value")), _head_signature, _passing), "passing")
+    ids = maybe.select(F.col("a").alias("id")).unionByName(maybe.select(F.col("b").alias("id"))).distinct()
+    _, texts = split_by_keys(nodes.select("id", F.col("text").alias("value")), "id", written(ids, "passing-ids"))
+    return _meeting(maybe, texts, _head_set, _similar)
+
+
+def band_key(band: Column, parts: int) -> Column:
+    """A long of the number of a band's part and the hash's low 32 bits: bands that are equal have one key, others seldom."""
+    return F.pmod(F.shiftright(band, 32), F.lit(parts).cast("long")) * F.lit(1 << 32) + band.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _edges(node: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of similar nodes, enough to connect each group. node is a written table, deleted once its candidates are known."""
-    entry = node.select(F.explode("bands").alias("band"), F.col("set_id").alias("id"))
-    bucket = written(entry.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").select("band", "lead"), "buckets")
-    _, maybe = split_by_keys(entry, "band", bucket)
+def repeated_keys(bands: DataFrame, parts: int) -> DataFrame:
+    """(key) of each band_key() that occurs twice or more in the lists of the column bands.
+
+    Only keys travel, 4 bytes each, sorted and packed by batch and part; of a key's repeats in a batch two are sent.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in ending_freed(batches):
+            band = batch.column(0).flatten().to_numpy()
+            keys = np.sort((band >> 32) % parts << 32 | band & 0xFFFFFFFF)
+            if len(keys) > 2:
+                keys = keys[np.append([True, True], keys[2:] != keys[:-2])]
+            part, low = keys >> 32, (keys & 0xFFFFFFFF).astype(np.uint32)
+            cut = np.append(0, np.flatnonzero(np.diff(part)) + 1).tolist() if len(keys) else []
+            packs = [low[i:j].tobytes() for i, j in zip(cut, [*cut[1:], len(keys)])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32) if cut else [], pa.int32()), pa.array(packs, pa.binary())], ["part", "packs"])
+
+    def repeats(part: int, packs: list[bytes]) -> pa.RecordBatch:
+        low = np.sort(np.frombuffer(b"".join(packs), np.uint32))
+        twice = np.unique(low[1:][low[1:] == low[:-1]]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(twice | part << 32)], ["key"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in ending_freed(batches):
+            for part, packs in zip(batch.column("part").to_pylist(), batch.column("packs").to_pylist()):
+                if part != now:
+                    if held:
+                        yield repeats(now, held)
+                    now, held = part, []
+                held.append(packs)
+        if held:
+            yield repeats(now, held)
+
+    return bands.select("bands").mapInArrow(pack, "part int, packs binary").repartition("part").sortWithinPartitions("part").mapInArrow(unpack, "key long")
+
+
+def set_nodes(sets: DataFrame) -> DataFrame:
+    """(id, doc_id, text_hash, bands) of one row for each set, the least. Rows of sets that occur once aren't shuffled."""
+    copied = written(sets.groupBy("set_id").agg(F.count("*").alias("n")).where("n > 1").select("set_id"), "copied-sets")
+    single, maybe = split_by_keys(sets, "set_id", copied)
+    first = maybe.groupBy("set_id", "set_check").agg(F.min_by("bands", F.struct("doc_id", "text_hash")).alias("bands"), F.min(F.struct("doc_id", "text_hash")).alias("d"))
+    first = written(first.select(F.col("set_id").alias("id"), "d.doc_id", "d.text_hash", "bands"), "nodes-of-copies")
+    return single.select(F.col("set_id").alias("id"), "doc_id", "text_hash", "bands").unionByName(first)
+
+
+def _candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes that share a band: (band, id, lead) of each, and (id, doc_id, text_hash), both written."""
+    node, parts = set_nodes(sets), max(1, -(-sets.count() * BANDS // PART_BANDS))
+    entry = node.select(F.explode("bands").alias("band"), "id")
+    _, maybe = split_by_keys(entry.withColumn("key", band_key(F.col("band"), parts)), "key", written(repeated_keys(node, parts), "band-keys"))
+    maybe = written(maybe.select("band", "id"), "entries")
+    bucket = maybe.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").select("band", "lead")
     open_ = written(maybe.join(bucket, "band").select("band", "id", "lead"), "entries")
-    candidate = open_.select("id").distinct()
-    member = written(candidate.join(node.select(F.col("set_id").alias("id"), "d.doc_id", "d.text_hash"), "id"), "candidates")
-    drop_written(node)
-    _, texts = split_by_keys(_keyed(docs), "text_hash", member.select("text_hash").distinct())
-    texts = texts.withColumnRenamed("doc_id", "doc").withColumnRenamed("text_hash", "hash")
-    nodes = member.join(texts, (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("doc")))
-    nodes = written(_signed(nodes.select("id", "text").dropDuplicates(["id"])), "candidate-texts")
+    drop_written(maybe)
+    member = open_.select("id").distinct().join(node.select("id", "doc_id", "text_hash"), "id")
+    return open_, written(member, "candidates")
+
+
+def _candidate_texts(member: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, signature, text) of each candidate, written. Texts are shuffled once."""
+    of = lambda df: df.withColumns({"key": F.xxhash64("doc_id", "text_hash"), "none": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
+    of_one = ["text_hash", "doc_id", "none"]
+    _, texts = split_by_keys(of(_keyed(docs)), "key", of(member).select("key").distinct())
+    nodes = texts.select(*of_one, "text").dropDuplicates(of_one).join(of(member).select(*of_one, "id"), of_one)
+    return written(_signed(nodes.select("id", "text")), "candidate-texts")
+
+
+def _edges(open_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of similar nodes, enough to connect each group. open_: (band, id, lead) of candidates; nodes: (id, signature, text)."""
     pairs = written(open_.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     open_ = open_.where("id <> lead").select("band", "id")
     met, edges, leaders = pairs, None, MORE_LEADERS
@@ -245,11 +328,12 @@ def _edges(node: DataFrame, docs: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, group_id, group_size) of every row that is in a group of two rows or more."""
-    sets = written(document_sets(docs), "document-sets")
-    node = sets.groupBy("set_id", "set_check").agg(F.min_by("bands", F.struct("doc_id", "text_hash")).alias("bands"), F.min(F.struct("doc_id", "text_hash")).alias("d"))
-    node = written(node, "nodes")
-    group = components(_edges(node, docs)).select(F.col("id").alias("set_id"), "root")
-    named = sets.select("doc_id", "text_hash", "set_id").join(group, "set_id", "left").withColumn("of", F.coalesce("root", "set_id"))
+    banded = written(document_sets(docs), "document-sets")
+    open_, member = _candidates(banded)
+    sets = written(banded.select("doc_id", "text_hash", "set_id"), "document-sets")
+    drop_written(banded)
+    group = components(_edges(open_, _candidate_texts(member, docs))).select(F.col("id").alias("set_id"), "root")
+    named = sets.join(group, "set_id", "left").withColumn("of", F.coalesce("root", "set_id"))
     size = named.groupBy("of").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size")).where("group_size > 1")
     return named.join(size, "of").select("doc_id", "text_hash", "group_id", "group_size")
 

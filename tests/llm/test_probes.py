@@ -164,3 +164,40 @@ def test_near_copies_of_one_family_and_of_two_that_share_bands(spark, monkeypatc
     got = {tuple(r) for r in near_dedup.near_duplicates(docs).collect()}
     want = near_plain(rows)
     assert got == want and len({g for _, g, _ in want}) >= 2
+
+
+def shuffled_mb(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorList(True).apply(0).totalShuffleWrite() / 1e6
+
+
+def test_near_copies_send_texts_of_alike_signatures_alone(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: f"{rng.getrandbits(48):x}"
+    rows = []
+    for _ in range(60):  # families that share a band with others of their family, but are less alike than THRESHOLD
+        base = [word() for _ in range(150)]
+        rows += [(len(rows) + k, " ".join(base + [word() for _ in range(150)])) for k in range(10)]
+    rows += [(len(rows) + k, rows[k * 7][1] + " tail") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = shuffled_mb(spark)
+    got = {tuple(r) for r in near_dedup.near_duplicates(docs.select("doc_id", "text")).collect()}
+    assert got == near_plain(rows) and len(got) >= 40
+    assert shuffled_mb(spark) - before < 4 * sum(len(t) for _, t in rows) / 1e6
+
+
+def test_repeated_keys_of_bands(spark):
+    rng = np.random.default_rng(3)
+    lists = rng.integers(-(1 << 63), 1 << 63, (500, near_dedup.BANDS))
+    lists[1::5, 7] = lists[::5, 7]
+    lists[2:500:50, 0] = lists[0, 39]
+    df = spark.createDataFrame([(x.tolist(),) for x in lists], "bands array<long>").repartition(6)
+    for parts in (1, 7):
+        got = {r.key for r in near_dedup.repeated_keys(df, parts).collect()}
+        key = df.selectExpr("explode(bands) band").select(near_dedup.band_key(near_dedup.F.col("band"), parts).alias("key"))
+        want = {r.key for r in key.groupBy("key").count().where("count > 1").collect()}
+        assert got == want and len(want) >= 101
+    assert near_dedup.repeated_keys(df.where("false"), 3).count() == 0
