@@ -4,9 +4,9 @@ A text is cut at special tokens, normalized between them, and cut into runs of t
 Target runs are encoded by the new vocabulary and their ids mapped to ids of the old one; other runs by the old one.
 Decoding takes runs of ids that are mapped, or aren't, each by its vocabulary.
 
-Both are Column functions: cutting is done by generated code, and one Arrow pass looks the distinct words of a batch up
-in each worker's cache. Nothing is shuffled. Null texts and null lists give null; an empty text has no ids, and no ids
-are the empty text.
+Both are Column functions: Python workers cut the texts and look their words up in a cache of bounded size, some rows at a
+time, and send each such piece back on its own, so that what they hold follows neither the corpus nor Spark's batches.
+Nothing is shuffled. Null texts and null lists give null; an empty text has no ids, and no ids are the empty text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ import pickle
 import sys
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,14 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions import scripts as S
 from scriptloom.functions import shaping as H
+from scriptloom.functions.cutting import Cutter, letters_and_numbers, rejoined
 from scriptloom.operators.idmap import repaired
 from scriptloom.operators.vocabulary import ByteVocabulary
 
-CACHED_WORDS = 1_000_000
+#: What a worker's cache of words may take, about; what is cut, encoded or decoded at a time: a row at least.
+CACHE_BYTES = 48 << 20
+PIECE_BYTES = 1 << 20
+PIECE_IDS = 1 << 18
 BAD = "�"
 
 
@@ -41,13 +46,36 @@ class UnmappedId(ValueError):
     """An id of the new vocabulary has no entry in the map."""
 
 
+def _pieces(rows: pa.Array) -> Iterator[pa.Array]:
+    """Runs of rows of texts or lists of ids, of bounded size."""
+    if pa.types.is_list(rows.type) or pa.types.is_large_list(rows.type):
+        weight, most = pc.list_value_length(rows), PIECE_IDS
+    else:
+        weight, most = pc.binary_length(rows), PIECE_BYTES
+    size = pc.fill_null(weight, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // most
+    cut = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(rows)]):
+        yield rows.slice(a, b - a)
+
+
+def _arrays(lists: pa.Array) -> Iterator[np.ndarray | None]:
+    values, off = lists.values.to_numpy(), lists.offsets.to_numpy()
+    for k, x in enumerate(lists.is_valid().to_pylist()):
+        yield values[off[k] : off[k + 1]] if x else None
+
+
 class Codec:
     """What an executor needs of a model: words to ids with a cache, ids to bytes."""
 
-    def __init__(self, old: ByteVocabulary, new: ByteVocabulary, new_to_old: dict[int, int], old_to_new: dict[int, int], special_route: str, strict: bool):
-        self.old, self.new, self.new_to_old, self.strict, self.special_route = old, new, new_to_old, strict, special_route
-        self.cache: dict[str, list[int]] = {}
+    def __init__(self, old: ByteVocabulary, new: ByteVocabulary, new_to_old: dict[int, int], old_to_new: dict[int, int], special_route: str, strict: bool, cutter: Cutter):
+        self.old, self.new, self.new_to_old, self.strict, self.special_route, self.cutter = old, new, new_to_old, strict, special_route, cutter
+        self.forget()
         n = len(old)
+        self.through = np.full(len(new), -1, np.int32)
+        for i, o in new_to_old.items():
+            if 0 <= i < len(new):
+                self.through[i] = o
         self.mapped = np.zeros(n + 1, bool)  # the last place is that of unknown ids
         text = [*old.pieces, b""]
         for o, i in old_to_new.items():
@@ -62,41 +90,79 @@ class Codec:
         self.old_pieces = dict(enumerate(old.pieces))
         self.new_pieces = {o: new.pieces[i] for o, i in old_to_new.items()}
         self.suspicious = {i for i, p in self.old_pieces.items() if BAD in p.decode("utf-8", "replace")} | set(old.byte_ids())
+        self.names = pa.array([x.decode("utf-8", "replace") for x in text], pa.string())
+
+    def forget(self) -> None:
+        self.known: dict[str, dict[str, bytes]] = {route: {} for route in "012"}
+        self.held = 0
 
     def _through(self, ids: list[int]) -> list[int]:
         if self.strict and any(i not in self.new_to_old for i in ids):
             raise UnmappedId(f"no id of the old vocabulary for {[i for i in ids if i not in self.new_to_old]}")
         return [self.new_to_old[i] for i in ids if i in self.new_to_old]
 
-    def word(self, key: str) -> list[int]:
-        """key: 0 for the old vocabulary, 1 for the new one, 2 for a special token; then the word."""
-        route, word = key[0], key[1:]
+    def special_ids(self, word: str) -> list[int]:
+        if self.special_route == "new" and word in self.new.id_of:
+            return self._through([self.new.id_of[word]])
+        return [self.old.id_of[word]] if word in self.old.id_of else self.old.encode_word(word)
+
+    def learn(self, route: str, words: set[str]) -> None:
+        """Makes the ids of words known."""
+        new = list(words - self.known[route].keys())
         if route == "2":
-            if self.special_route == "new" and word in self.new.id_of:
-                return self._through([self.new.id_of[word]])
-            return [self.old.id_of[word]] if word in self.old.id_of else self.old.encode_word(word)
-        return self._through(self.new.encode_word(word)) if route == "1" else self.old.encode_word(word)
+            rows = [self.special_ids(w) for w in new]
+            ids, size = np.array([*chain.from_iterable(rows)], np.int32), np.array([len(x) for x in rows], np.int64)
+        else:
+            ids, size = (self.new if route == "1" else self.old).encode_many(new)
+        if route == "1":
+            to = self.through[ids]
+            if (to < 0).any():
+                if self.strict:
+                    raise UnmappedId(f"no id of the old vocabulary for {sorted({*ids[to < 0].tolist()})}")
+                size = np.diff(np.append(0, np.cumsum(to >= 0))[np.append(0, np.cumsum(size))])
+                to = to[to >= 0]
+            ids = to
+        whole, end = np.asarray(ids, np.int32).tobytes(), (4 * np.cumsum(size)).tolist()
+        self.known[route].update(zip(new, (whole[a:b] for a, b in zip([0, *end], end))))
+        self.held += sum(map(len, new)) * 2 + len(whole) + 220 * len(new)
+
+    def _lists(self, rows: list[bytes | None]) -> pa.Array:
+        to = np.append(0, np.cumsum([len(x or b"") // 4 for x in rows], dtype=np.int64))
+        null = np.array([x is None for x in rows] + [False])
+        ids = pa.array(np.frombuffer(b"".join(x or b"" for x in rows), np.int32))
+        return pa.ListArray.from_arrays(pa.array(to, pa.int32(), mask=null), ids)
+
+    def _encoded(self, cut: list[list[tuple[str, list[str]]] | None]) -> pa.Array:
+        if self.held > CACHE_BYTES:
+            self.forget()
+        for route in "012":
+            self.learn(route, set(chain.from_iterable(words for row in cut if row for r, words in row if r == route)))
+        of = {route: known.__getitem__ for route, known in self.known.items()}
+        return self._lists([None if x is None else b"".join(chain.from_iterable(map(of[route], words) for route, words in x)) for x in cut])
+
+    def encode_words(self, lists: pa.Array) -> pa.Array:
+        """Of lists of words with the mark of their route before them."""
+        return self._encoded([None if x is None else [(w[0], [w[1:]]) for w in x] for x in lists.to_pylist()])
+
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, list[list | None]]:
+        """The ids of texts, and what the texts were cut into."""
+        cut = [None if t is None else self.cutter.cut(t) for t in texts.to_pylist()]
+        return self._encoded(cut), cut
+
+    def encoding(self, texts: pa.Array, eos: int | None) -> pa.Array:
+        """Structs of ids and their texts, with eos at the end."""
+        ids, _ = self.encode(texts)
+        if eos is not None:
+            rows = [None if x is None else x.tobytes() + np.int32(eos).tobytes() for x in _arrays(ids)]
+            ids = self._lists(rows)
+        return pa.StructArray.from_arrays([ids, self.tokens(ids)], ["ids", "tokens"])
 
-    def encode(self, lists: pa.Array) -> pa.Array:
-        null = np.asarray(lists.is_null())
-        count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        keys = pc.dictionary_encode(lists.flatten())
-        index = keys.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        found = []
-        for key in keys.dictionary.to_pylist():
-            ids = self.cache.get(key)
-            if ids is None:
-                ids = self.cache[key] = self.word(key)
-            found.append(ids)
-        size = np.array([len(x) for x in found], np.int64)
-        flat = np.array([i for x in found for i in x], np.int32)
-        at, own = np.cumsum(size) - size, size[index]
-        to = np.append(0, np.cumsum(own))
-        out = flat[np.arange(int(to[-1])) - np.repeat(to[:-1] - at[index], own)]
-        offsets = to[np.append(0, np.cumsum(count))]
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(null, False)), pa.array(out, pa.int32()))
+    def roundtrip(self, texts: pa.Array) -> pa.Array:
+        """Structs of the number of ids, the text as it was encoded (normalized) and the text of the ids."""
+        ids, cut = self.encode(texts)
+        normal = pa.array([None if x is None else rejoined(x) for x in cut], pa.string())
+        decoded = [self.decode(x, False, True) for x in _pieces(ids)]
+        return pa.StructArray.from_arrays([pc.list_value_length(ids).cast(pa.int32()), normal, pa.concat_arrays(decoded)], ["n", "normal", "decoded"])
 
     def _rows(self, lists: pa.Array, skip: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, those of unknown ones the last place; offsets; null rows)"""
@@ -153,8 +219,7 @@ class Codec:
 
     def tokens(self, lists: pa.Array) -> pa.Array:
         ids, to, null = self._rows(lists, False)
-        names = pa.array([x.decode("utf-8", "replace") for x in self.text], pa.string())
-        return pa.ListArray.from_arrays(pa.array(to, pa.int32(), mask=np.append(null, False)), names.take(pa.array(ids)))
+        return pa.ListArray.from_arrays(pa.array(to, pa.int32(), mask=np.append(null, False)), self.names.take(pa.array(ids)))
 
 
 class DualModel:
@@ -173,7 +238,8 @@ class DualModel:
         self.specials = old.specials if specials is None else specials
         self.special_route, self.on_unmapped, self.normalize_first = special_route, on_unmapped, normalize_first
         self.old_to_new = {o: n for n, o in sorted(new_to_old.items())} if old_to_new is None else old_to_new
-        codec = Codec(old, new, new_to_old, self.old_to_new, special_route, on_unmapped == "error")
+        cutter = Cutter(letters_and_numbers(spark), script, self.rules, self.specials, normalize_first)
+        codec = Codec(old, new, new_to_old, self.old_to_new, special_route, on_unmapped == "error", cutter)
         self.codec = codec
         # Bounded by the vocabularies (some MB), whatever the corpus.
         self._sent, self._key = spark.sparkContext.broadcast(cloudpickle.dumps(codec)), uuid.uuid4().hex
@@ -184,6 +250,7 @@ class DualModel:
         def get() -> Codec:
             state = _worker_state()
             if key not in state:
+                state.clear()  # a worker outlives its query, and has one model at a time
                 state[key] = pickle.loads(sent.value)
             return state[key]
 
@@ -201,24 +268,28 @@ class DualModel:
             return marked(text)
         return F.flatten(F.transform(S.special_split(text, self.specials), lambda p: F.when(p.isin(self.specials), F.array(F.concat(F.lit("2"), p))).otherwise(marked(p))))
 
-    def encode(self, text: Column) -> Column:
-        """Ids of the old vocabulary."""
-        get = self._get()
+    def _by_pieces(self, of: Callable[[Codec, pa.Array], pa.Array], kind: str) -> Callable[[Column], Column]:
+        """A function of a Column of texts or lists; its results leave a worker piece by piece, not by Spark's batches."""
+        get, pieces = self._get(), _pieces
 
-        @F.arrow_udf("array<int>")
-        def ids(words: pa.Array) -> pa.Array:
-            return get().encode(words)
+        @F.arrow_udf(kind)
+        def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for rows in batches:
+                for some in pieces(rows):
+                    yield of(get(), some)
 
-        return ids(self.words(text))
+        return each
 
-    def _decoded(self, ids: Column, skip_special_tokens: bool, repair: bool) -> Column:
-        get = self._get()
+    def encode(self, text: Column) -> Column:
+        """Ids of the old vocabulary."""
+        return self._by_pieces(lambda codec, x: codec.encode(x)[0], "array<int>")(text)
 
-        @F.arrow_udf("string")
-        def text(lists: pa.Array) -> pa.Array:
-            return get().decode(lists, skip_special_tokens, repair)
+    def roundtrip(self, text: Column) -> Column:
+        """A struct: n (the number of ids), normal (the text as it is encoded) and decoded, by decode(). The ids stay in the worker."""
+        return self._by_pieces(lambda codec, x: codec.roundtrip(x), "struct<n:int,normal:string,decoded:string>")(text)
 
-        return text(ids.cast("array<int>"))
+    def _decoded(self, ids: Column, skip_special_tokens: bool, repair: bool) -> Column:
+        return self._by_pieces(lambda codec, x: codec.decode(x, skip_special_tokens, repair), "string")(ids.cast("array<int>"))
 
     def decode_basic(self, ids: Column, skip_special_tokens: bool = False) -> Column:
         """Text of ids, run by run; bytes that don't fit at the ends of a run become U+FFFD."""
@@ -230,22 +301,15 @@ class DualModel:
 
     def tokens(self, ids: Column) -> Column:
         """The text of each id alone."""
-        get = self._get()
-
-        @F.arrow_udf("array<string>")
-        def names(lists: pa.Array) -> pa.Array:
-            return get().tokens(lists)
-
-        return names(ids.cast("array<int>"))
+        return self._by_pieces(lambda codec, x: codec.tokens(x), "array<string>")(ids.cast("array<int>"))
 
     def encoding(self, text: Column, eos: int | None = None) -> Column:
         """One struct: ids (with eos at the end, if given), type_ids, tokens, offsets (the whole text for each id), attention_mask."""
-        ids = self.encode(text)
-        if eos is not None:
-            ids = F.concat(ids, F.array(F.lit(eos)))
+        both = self._by_pieces(lambda codec, x: codec.encoding(x, eos), "struct<ids:array<int>,tokens:array<string>>")(text)
+        ids = both["ids"]
         n = F.size(ids)
         span = F.struct(F.lit(0).alias("start"), F.octet_length(text).alias("stop"))
-        fields = [ids.alias("ids"), F.array_repeat(F.lit(0), n).alias("type_ids"), self.tokens(ids).alias("tokens"), F.array_repeat(span, n).alias("offsets"), F.array_repeat(F.lit(1), n).alias("attention_mask")]
+        fields = [ids.alias("ids"), F.array_repeat(F.lit(0), n).alias("type_ids"), both["tokens"].alias("tokens"), F.array_repeat(span, n).alias("offsets"), F.array_repeat(F.lit(1), n).alias("attention_mask")]
         return F.when(text.isNotNull(), F.struct(*fields))
 
     def encode_plus(self, text: Column, pair: Column | None = None, *, bos: int, eos: int, pad: int, add_special_tokens: bool = False, max_length: int | None = None, padding: Column | int | None = None, multiple_of: int | None = None, legacy: bool = False) -> Column:
@@ -273,7 +337,7 @@ class DualModel:
     def register(self, spark: SparkSession) -> None:
         """Registers dual_encode(text) and dual_decode(ids) for SQL: encode works on words(text), so SQL passes those."""
         get = self._get()
-        spark.udf.register("dual_encode_words", F.arrow_udf(lambda words: get().encode(words), "array<int>"))
+        spark.udf.register("dual_encode_words", F.arrow_udf(lambda words: get().encode_words(words), "array<int>"))
         spark.udf.register("dual_decode", F.arrow_udf(lambda lists: get().decode(lists, False, True), "string"))
 
     def stats(self) -> dict[str, int]:

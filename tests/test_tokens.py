@@ -354,3 +354,58 @@ def test_commands_build_a_model(spark, tmp_path):
 def test_fertility_of_words(spark):
     w = spark.createDataFrame([("the", 2)], "word string, n long")
     assert bpe.encode_words(w, [("t", "h"), ("th", "e")]).first().symbols == ["the"]
+
+
+def test_many_words_meet_the_plain_encoding():
+    rng = random.Random(9)
+    v = ByteVocabulary.of_pairs(["<s>"], plain_train([([ByteVocabulary(["<s>"]).byte_id[b] for b in w.encode()], n) for w, n in random_words(rng, 80)], 257, 60))
+    words = ["", "aaaaa", "a" * 63, "a" * 200, *(w for w, _ in random_words(rng, 300)), "", "ab" * 40]
+    ids, size = v.encode_many(words)
+    ends = size.cumsum().tolist()
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == [plain_encode(v, w) for w in words]
+    assert [len(x) for x in v.encode_many([])] == [0, 0] and ByteVocabulary().encode_many(["ab"])[1].tolist() == [2]
+
+
+@pytest.mark.parametrize("specials, first", [(["the", "<|sep|>"], False), ([], False), (["the"], True)])
+def test_workers_cut_as_columns_do(spark, specials, first):
+    rng = random.Random(10)
+    odd = "aZ é1²٣ \t\n\x1c\x85\u00a0\u2003\u3000'st.,_—ʰाجف中\U0001d49c\U0001f600\U00020000\U0001ee00" + chr(0x677) + chr(0xFEFB) + chr(0x6CC) + chr(0x1C89) + chr(0x2EBF0)
+    rows = ["".join(rng.choice([*odd, "the", "<|sep|>", " "]) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [None, ""]
+    rules = S.ARABIC_RULES | {ord("Z"): [], ord("_"): [0x1D49C]}
+    m = DualModel(spark, T.OLD, T.NEW, T.NEW_TO_OLD, "arabic", rules, specials, normalize_first=first)
+    for r in texts_of(spark, *rows).select("text", m.words(F.col("text")).alias("w")).collect():
+        cut = None if r.text is None else [route + w for route, words in m.codec.cutter.cut(r.text) for w in words]
+        assert cut == r.w, r.text
+
+
+def test_workers_hold_pieces_and_a_bounded_cache(spark, monkeypatch):
+    import pyarrow as pa
+
+    from scriptloom.operators import dual
+
+    rng = random.Random(11)
+    texts = pa.array([" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(100)) for _ in range(3000)] + [None, "", "x" * (3 << 20)])
+    some = list(dual._pieces(texts))
+    assert pa.concat_arrays(some).equals(texts) and all(x.nbytes < 2.5 * dual.PIECE_BYTES for x in some[:-1]) and len(some) >= 3
+    monkeypatch.setattr(dual, "CACHE_BYTES", 1 << 20)
+    codec = T.model(spark).codec
+    held = []
+    for x in dual._pieces(texts.slice(0, 3000)):
+        ids, _ = codec.encode(x)
+        held.append(codec.held)
+        assert all(len(i) <= 2 * dual.PIECE_IDS for i in dual._pieces(ids))
+        assert codec.decode(ids, False, True).equals(x)
+    assert len(held) > 2 and held[-1] < 1.5 * held[0]
+
+
+def test_documents_without_words_have_no_row(spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame([(0, "", "en", "s", 0), (5, "the cat", "en", "s", 7), (7, None, "fr", "s", 0), (9, "of ab بت", "fr", "s", 8)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("encode_dual", "roundtrip_ok", "roundtrip_summary", "encoding_struct"):
+        df = T.query.__globals__["QUERIES"][name](spark, str(tmp_path))
+        cur = c.execute(T.query.__globals__["ORACLES"][name])
+        at = [[x[0] for x in cur.description].index(k) for k in df.columns]
+        assert sorted(str(tuple(r)) for r in df.collect()) == sorted(str(tuple(r[k] for k in at)) for r in cur.fetchall()), name
