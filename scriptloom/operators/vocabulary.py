@@ -7,16 +7,15 @@ are no character on their own, blanks cut off at both ends).
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.functions.scripts import WHITE
+from scriptloom.operators.merges import WORDS_IN_ONE_TASK, learnt, safe_batch, tasks_for  # noqa: F401 (safe_batch belongs to training)
 from scriptloom.sources.shared import written
 
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -25,12 +24,8 @@ PRINTABLE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate
 _BYTE_OF = {c: b for b, c in PRINTABLE.items()}
 #: Bytes by the order of their printable characters; a vocabulary's ids follow it.
 ALPHABET = sorted(range(256), key=PRINTABLE.__getitem__)
-#: Up to so many distinct words are trained on in one task; beyond that each batch of merges is a job. The merges are the same.
-WORDS_IN_ONE_TASK = 2_000_000
-TOP_PAIRS = 4096
 #: Longer words (bytes) are encoded one by one.
 LONG_WORD = 64
-ROUNDS_BETWEEN_WRITES = 8
 
 
 def printable(token: bytes) -> str:
@@ -186,109 +181,12 @@ def unreadable(vocab: DataFrame) -> DataFrame:
     return vocab.where(~F.is_valid_utf8(bytes_.cast("string")) | F.contains(F.make_valid_utf8(bytes_.cast("string")), F.lit("�")))
 
 
-def _pair_merges(words: Iterator[tuple[list[int], int]], first: int, count: int) -> list[tuple[int, int, int]]:
-    """The first merges (left id, right id, weight); merged tokens get ids from first on; ties go to the lesser pair of ids."""
-    symbols, weight = [], []
-    for ids, n in words:
-        if len(ids) > 1:
-            symbols.append(ids)
-            weight.append(n)
-    total: Counter = Counter()
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for i, s in enumerate(symbols):
-        for p in zip(s, s[1:]):
-            total[p] += weight[i]
-            where[p].add(i)
-    heap = [(-n, p) for p, n in total.items()]
-    heapq.heapify(heap)
-    out: list[tuple[int, int, int]] = []
-    while heap and len(out) < count:
-        n, p = heapq.heappop(heap)
-        if total[p] != -n or n == 0:
-            continue
-        new, changed = first + len(out), set()
-        out.append((*p, -n))
-        for i in where.pop(p):
-            s, to, k = symbols[i], [], 0
-            for q in zip(s, s[1:]):
-                total[q] -= weight[i]
-                changed.add(q)
-            while k < len(s):
-                if k + 1 < len(s) and (s[k], s[k + 1]) == p:
-                    to.append(new)
-                    k += 2
-                else:
-                    to.append(s[k])
-                    k += 1
-            symbols[i] = to
-            for q in zip(to, to[1:]):
-                total[q] += weight[i]
-                where[q].add(i)
-                changed.add(q)
-        for q in changed:
-            if total[q] > 0:
-                heapq.heappush(heap, (-total[q], q))
-    return out
-
-
-def safe_batch(pairs: list[tuple[int, int, int]], more: bool) -> list[tuple[int, int, int]]:
-    """Of pairs (left, right, n) by falling n and rising ids, those that one-by-one training would merge next, in this order.
-
-    A merge only makes pairs of its token, each no more frequent than the pair of its left or right part that it replaces.
-    So the pairs before the first one that shares a token with an earlier one are next, but for those as frequent as it,
-    where a new pair could come between. more: the list goes on after its end.
-    """
-    used: set[int] = set()
-    out: list[tuple[int, int, int]] = []
-    for a, b, n in pairs:
-        if a in used or b in used:
-            return [x for x in out if x[2] > n] or out[:1]
-        out.append((a, b, n))
-        used |= {a, b}
-    return ([x for x in out if x[2] > out[-1][2]] or out[:1]) if more else out
-
-
 def train(words: DataFrame, merges: int, specials: Iterable[str] = (), one_task: int = WORDS_IN_ONE_TASK) -> ByteVocabulary:
     """The vocabulary of so many merges, learnt from distinct words with counts (word, n). Null words don't count.
 
     The driver gets the merges alone: their number, not the corpus, bounds what it holds.
     """
     base = ByteVocabulary(specials)
-    first = len(base)
-    ids = "transform(regexp_extract_all(hex(encode(word, 'UTF-8')), '(..)', 1), x -> cast(conv(x, 16, 10) as int))"
-    places = F.array(*[F.lit(base.byte_id[b]) for b in range(256)])
-    some = words.where("word is not null and length(word) > 0").select(F.transform(F.expr(ids), lambda b: F.element_at(places, b + 1)).alias("ids"), "n")
-    some = written(some, "words")
-    if some.count() <= one_task:
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rows = ((list(map(int, i)), int(n)) for pdf in batches for i, n in zip(pdf["ids"], pdf["n"]))
-            found = _pair_merges(rows, first, merges)
-            yield pd.DataFrame([(k, *m) for k, m in enumerate(found)], columns=["k", "l", "r", "n"])
-
-        found = [(r["l"], r["r"]) for r in some.repartition(1).mapInPandas(run, "k int, l int, r int, n long").orderBy("k").collect()]
-        return ByteVocabulary.of_pairs(base.specials, found)
-
-    # A word as <1><2><3>; a merge is one replacement, as only neighbours with both brackets meet.
-    state = some.select(F.concat(F.lit("<"), F.array_join(F.col("ids").cast("array<string>"), "><"), F.lit(">")).alias("w"), "n")
-    out: list[tuple[int, int]] = []
-    rounds = 0
-    while len(out) < merges:
-        s = state.select("n", F.split(F.regexp_replace("w", "[<>]+", " "), " ").alias("s")).select("n", F.slice("s", 2, F.size("s") - 2).cast("array<int>").alias("s")).where("size(s) > 1")
-        pair = F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("l"), F.slice("s", F.lit(2), F.size("s") - 1).alias("r")))
-        top = s.select("n", pair.alias("p")).groupBy("p.l", "p.r").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l", "r").limit(TOP_PAIRS)
-        pairs = [(r["l"], r["r"], r["n"]) for r in top.collect()]
-        batch = safe_batch(pairs, len(pairs) == TOP_PAIRS)[: merges - len(out)]
-        if not batch:
-            break
-        w = F.col("w")
-        for left, right, _ in batch:
-            new = first + len(out)
-            # Of a run of one token the replacement takes the first two, then the next two, as merging does.
-            w = F.replace(w, F.lit(f"<{left}><{right}>"), F.lit(f"<{new}>"))
-            out.append((left, right))
-        state = state.select(w.alias("w"), "n")
-        rounds += 1
-        if rounds % ROUNDS_BETWEEN_WRITES == 0:
-            state = written(state, "words")
-    return ByteVocabulary.of_pairs(base.specials, out)
+    some = written(words.where("word is not null and length(word) > 0").select("word", "n"), "words")
+    found = learnt(some, merges, len(base), [base.byte_id[b] for b in range(256)], tasks_for(some, one_task))
+    return ByteVocabulary.of_pairs(base.specials, [(r["l"], r["r"]) for r in sorted(found.collect())])  # an orderBy() would train twice, for its sample

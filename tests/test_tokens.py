@@ -409,3 +409,47 @@ def test_documents_without_words_have_no_row(spark, tmp_path):
         cur = c.execute(T.query.__globals__["ORACLES"][name])
         at = [[x[0] for x in cur.description].index(k) for k in df.columns]
         assert sorted(str(tuple(r)) for r in df.collect()) == sorted(str(tuple(r[k] for k in at)) for r in cur.fetchall()), name
+
+
+@pytest.mark.parametrize("one_task", [2_000_000, 0])
+def test_training_of_characters_meets_the_recount(spark, one_task):
+    rng = random.Random(12)
+    rows = [*random_words(rng, 80), ("aaaaaaa", 3), ("éééé", 2), ("ababab" * 3, 1)]
+    df = spark.createDataFrame([*rows, (None, 4), ("", 3), ("x", 9)], "word string, n long")
+    got = [tuple(r) for r in bpe.train(df, 60, one_task=one_task).orderBy("rank").collect()]
+    seqs, want = [(list(w), n) for w, n in rows], []
+    for rank in range(60):
+        total = {}
+        for s, n in seqs:
+            for p in zip(s, s[1:]):
+                total[p] = total.get(p, 0) + n
+        if not total:
+            break
+        best = min(total, key=lambda p: (-total[p], p))
+        want.append((rank, *best, total[best]))
+        for s, _ in seqs:
+            i = 0
+            while i + 1 < len(s):
+                if tuple(s[i : i + 2]) == best:
+                    s[i : i + 2] = ["".join(best)]
+                i += 1
+    assert got == want
+
+
+def test_training_takes_time_by_the_places_of_a_merge():
+    import time
+
+    import numpy as np
+
+    from scriptloom.operators import merges
+
+    rng = np.random.default_rng(13)
+    size = rng.integers(4, 20, 200_000)
+    symbols = (rng.random(int(size.sum())) ** 3 * 256).astype(np.int32)
+    began = time.thread_time()
+    found = merges.learn(merges.Words(symbols, size, rng.integers(1, 9, len(size)), 256), 1000, merges.by_ids)
+    assert len(found) == 1000 and time.thread_time() - began < 60
+    left, right, n = found[0]
+    inside = np.ones(len(symbols), bool)
+    inside[np.cumsum(size) - 1] = False
+    assert 0 <= left < 256 and 0 <= right < 256 and n > 0 and inside.sum() == len(symbols) - len(size)
