@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.operators.ranks import ranked
@@ -48,13 +50,17 @@ def identity_map(spark, n: int) -> DataFrame:
     return spark.range(n).selectExpr("cast(id as int) new_id", "cast(id as int) old_id")
 
 
-def id_runs(sequences: DataFrame, key: str, is_mapped: str) -> DataFrame:
-    """(key, run, mapped, ids, start): runs of ids that are all mapped or all not, of a table key, pos, id."""
-    w = Window.partitionBy(key).orderBy("pos")
-    s = sequences.withColumn("mapped", F.expr(is_mapped))
-    s = s.withColumn("turn", F.coalesce((F.col("mapped") != F.lag("mapped").over(w)).cast("int"), F.lit(0)))
-    s = s.withColumn("run", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy(key, "run", "mapped").agg(F.count("*").alias("ids"), F.min("pos").alias("start"))
+def id_runs(sequences: DataFrame, key: str, is_mapped: Callable[[Column], Column], ids: str = "ids") -> DataFrame:
+    """(key, run, mapped, ids, start): runs of ids that are all mapped or all not, of a table with an array of ids a row and a key of its own.
+
+    A row is cut where it stands: nothing is shuffled or sorted.
+    """
+    mapped = sequences.select(key, F.transform(ids, is_mapped).alias("__m")).where("size(__m) > 0")
+    # Where an id's kind isn't that of the one before; the end of the array too, so that a run ends where the next one starts.
+    turns = F.filter(F.sequence(F.lit(0), F.size("__m")), lambda p: (p == 0) | (p == F.size("__m")) | (F.get("__m", p) != F.get("__m", p - 1)))
+    runs = mapped.select(key, "__m", turns.alias("__t"))
+    runs = runs.select(key, F.posexplode(F.expr("transform(sequence(1, size(__t) - 1), k -> struct(__m[__t[k - 1]] mapped, cast(__t[k] - __t[k - 1] as long) ids, __t[k - 1] start))")).alias("run", "r"))
+    return runs.select(key, F.col("run").cast("long").alias("run"), "r.mapped", "r.ids", "r.start")
 
 
 def repaired(ids: list[int], pieces: dict[int, bytes], new_pieces: dict[int, bytes], suspicious: set[int], longest: int = 4) -> str:

@@ -145,3 +145,22 @@ def test_too_few_reusable_ids_raise(spark):
         for run in (m.collect, m.count, idmap.inverse(m).collect, idmap.stats(m, idmap.common_tokens(new, old)).collect):
             with pytest.raises(Exception, match="no reusable id is left"):
                 run()
+
+
+def test_runs_of_ids_need_no_shuffle(spark):
+    rows = [("a", [100, 200, 5, 10, 100]), ("b", [1]), ("c", []), ("d", None), ("e", [97] * 3)]
+    df = idmap.id_runs(spark.createDataFrame(rows, "seq string, ids array<int>"), "seq", lambda i: i >= 97)
+    assert sorted(map(tuple, df.collect())) == [("a", 0, True, 2, 0), ("a", 1, False, 2, 2), ("a", 2, True, 1, 4), ("b", 0, False, 1, 0), ("e", 0, True, 3, 0)]
+    plan = catalog.id_runs(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+
+
+def test_empty_texts_count_as_in_the_sql(spark, tmp_path):
+    spark.createDataFrame([(0, "abé"), (5, ""), (6, ""), (7, None), (4, "\0é")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("char_counts", "block_coverage"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        cur = c.execute(catalog.ORACLES[name])
+        at = [[x[0] for x in cur.description].index(k) for k in df.columns]
+        assert _rows(df.collect()) == _rows([[r[k] for k in at] for r in cur.fetchall()]), name
