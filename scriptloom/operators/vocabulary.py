@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.functions.scripts import WHITE
-from scriptloom.operators.merges import WORDS_IN_ONE_TASK, learnt, safe_batch, tasks_for  # noqa: F401 (safe_batch belongs to training)
+from scriptloom.operators.merges import WORDS_IN_ONE_TASK, learnt, merged, safe_batch, tasks_for  # noqa: F401 (safe_batch belongs to training)
 from scriptloom.sources.shared import written
 
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -121,41 +121,14 @@ class ByteVocabulary:
         data = np.frombuffer(held.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
         size = np.diff(off)
         place = np.array([self.byte_id[b] for b in range(256)], np.int64)
-        ids, none = place[data], len(self.pieces)
-        codes = np.array([a * none + b for a, b in self.joined] or [-1], np.int64)
-        order = np.argsort(codes)
-        codes, made = codes[order], np.array([*self.joined.values()] or [none], np.int64)[order]
-        ended = [(np.flatnonzero(size == 0), size[size == 0], ids[:0])]
-        number = np.flatnonzero((size > 0) & (size <= LONG_WORD))
-        for k in np.flatnonzero(size > LONG_WORD).tolist():
-            own = np.array(self.encode_word(words[k]), np.int64)
-            ended.append((np.array([k]), np.array([len(own)]), own))
-        ids, size = ids[np.repeat((size > 0) & (size <= LONG_WORD), size)], size[number]
-        while len(number):
-            pair = np.append(ids[:-1] * none + ids[1:], -2)
-            at = np.minimum(np.searchsorted(codes, pair), len(codes) - 1)
-            found = np.where(codes[at] == pair, made[at], none)
-            end = np.cumsum(size)
-            found[end - 1] = none
-            least = np.minimum.reduceat(found, end - size)
-            over = least == none
-            of_over = np.repeat(over, size)
-            ended.append((number[over], size[over], ids[of_over]))
-            number, size, least, ids, found = number[~over], size[~over], least[~over], ids[~of_over], found[~of_over]
-            if not len(number):
-                break
-            hit = found == np.repeat(least, size)
-            if (hit[1:] & hit[:-1]).any():  # of a run of one token the first two, then the next two
-                place = np.arange(len(hit))
-                hit &= (place - np.maximum.accumulate(np.where(hit & ~np.append(False, hit[:-1]), place, 0))) % 2 == 0
-            ids[hit] = found[hit]
-            end = np.cumsum(size)
-            size = size - np.add.reduceat(hit, end - size, dtype=np.int64)
-            ids = ids[~np.append(False, hit[:-1])]
-        number, size, ids = (np.concatenate(x) for x in zip(*ended))
-        order, begin = np.argsort(number), np.cumsum(size) - size
-        size, begin = size[order], begin[order]
-        return ids[np.arange(len(ids)) - np.repeat(np.cumsum(size) - size - begin, size)].astype(np.int32), size
+        made = np.array([*self.joined.values()], np.int64)
+        short = size <= LONG_WORD
+        ids, own = merged(place[data[np.repeat(short, size)]], size[short], list(self.joined), made, made, len(self.pieces))
+        if short.all():
+            return ids.astype(np.int32), own
+        rows = iter(np.split(ids, np.cumsum(own)[:-1]) if len(own) else [])
+        every = [next(rows) if s else np.array(self.encode_word(w), np.int64) for w, s in zip(words, short.tolist())]
+        return np.concatenate(every).astype(np.int32), np.array([len(x) for x in every], np.int64)
 
     def rows(self) -> list[tuple[str, int, str]]:
         return [(p.hex().upper(), i, self.visible(i)) for i, p in enumerate(self.pieces)]

@@ -453,3 +453,20 @@ def test_training_takes_time_by_the_places_of_a_merge():
     inside = np.ones(len(symbols), bool)
     inside[np.cumsum(size) - 1] = False
     assert 0 <= left < 256 and 0 <= right < 256 and n > 0 and inside.sum() == len(symbols) - len(size)
+
+
+def test_sizes_of_documents_with_a_small_cache(spark, monkeypatch):
+    rng = random.Random(14)
+    merges = [("b", "c"), ("a", "b"), ("ab", "c"), ("a", "bc"), (" ", "a"), ("1", "1"), ("abc", "abc"), ("s", "t"), ("a", "b")]
+    rows = [(i % 7, "".join(rng.choice("abc'st 1²\n\u00a0\U0001d49c") for _ in range(rng.randint(0, 60)))) for i in range(200)] + [(8, None), (9, "")]
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 400)
+    df = spark.createDataFrame(rows, "k int, text string").repartition(3)
+    plain = df.select("k", F.explode(S.pretokens(F.col("text"))).alias("w")).collect()
+    ranks = {m: i for i, m in enumerate(merges)}
+    want = {}
+    for r in plain:
+        n, t = want.get(r.k, (0, 0))
+        want[r.k] = (n + 1, t + len(bpe.apply_merges(r.w, ranks)))
+    sizes = bpe.encoded_sizes(df, merges, key="k")
+    assert {r.k: (r.words, r.tokens) for r in sizes.collect()} == want
+    assert "regexp_extract_all" not in sizes._jdf.queryExecution().executedPlan().toString()  # lists of words don't go through Spark's batches
